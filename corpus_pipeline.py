@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A uniform shuffle into 16 shards: the documents with shard and slot."""
-    return sharding.shard_rows(docs, 16, stage=False)
+    return sharding.shard_rows(docs, 16)
 
 
 STAGES = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, sharding, simhash, toxicity, url_filter
+from . import decontamination, mixing, sharding, simhash, toxicity, url_filter, warc
 from .common import read
 from .oracle import ORACLE
 
@@ -25,6 +25,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(read(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
@@ -42,4 +46,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op6_sharding, op8_simhash, op9_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op5_warc, op6_sharding, op8_simhash, op9_mixing, op10_url_filter)}

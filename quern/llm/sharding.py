@@ -64,14 +64,13 @@ def exact_sizes(total: int, parts: int) -> list[int]:
 
 
 def shard_rows(
-    df: DataFrame, n_shards: int = 16, seed: int = 7, block_rows: int = 200_000, max_blocks: int = 64, stage: bool = True
+    df: DataFrame, n_shards: int = 16, seed: int = 7, block_rows: int = 200_000, max_blocks: int = 64
 ) -> DataFrame:
     """``df`` with ``shard`` (0 ..) and ``slot`` (gapless from 0 within the shard).
 
     ``block_rows`` bounds what one task permutes, up to ``max_blocks`` blocks a shard. The input is
     staged in the shared folder with each row's partition and local rank, so that later steps agree
-    on them even if executors are lost; ``stage=False`` saves that for inputs that are files, whose
-    partitions are the same in both passes.
+    on them even if executors are lost.
     """
     keep = [c for c in df.columns if c not in OUT]
     df = df.select(*[F.col(f"`{c}`") for c in keep])
@@ -81,12 +80,8 @@ def shard_rows(
     x = x.withColumn("s_key", F.xxhash64(F.lit(seed), F.lit("local"), F.monotonically_increasing_id()))
     x = x.sortWithinPartitions("s_key").drop("s_key")
     x = x.withColumn("s_rank", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    if stage:
-        x = staged(x, "shard-input")
-        counted = x.select("s_part")
-    else:
-        counted = df.select(F.spark_partition_id().alias("s_part"))
-    counts = {r[0]: r[1] for r in counted.groupBy("s_part").count().collect()}
+    x = staged(x, "shard-input")
+    counts = {r[0]: r[1] for r in x.groupBy("s_part").count().collect()}
     parts = sorted(counts)
     total = sum(counts.values())
     spark = df.sparkSession
