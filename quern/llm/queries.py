@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, media, mixing, sharding, simhash, toxicity, url_filter, warc
+from . import decontamination, media, mixing, sharding, simhash, suffix_dedup, toxicity, url_filter, warc
 from .common import read
 from .oracle import ORACLE
 
@@ -25,6 +25,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_report(read(spark, sf_dir, "documents"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_report(read(spark, sf_dir, "documents"))
 
@@ -50,4 +54,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_media, op5_warc, op6_sharding, op8_simhash, op9_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_media, op5_warc, op6_sharding, op8_simhash, op9_mixing, op10_url_filter)}
