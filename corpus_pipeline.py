@@ -9,7 +9,7 @@ from quern.llm.common import new_path, read
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose probability of any severity is one half or more."""
+    """Drop documents whose probability of any severity is at least 0.4."""
     return toxicity.reject_toxic(docs, read(spark, sf_dir, "labels"))
 
 

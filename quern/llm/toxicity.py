@@ -1,12 +1,13 @@
-"""Toxicity: cumulative-link (proportional odds) ordinal regression on sparse word counts.
+"""Toxicity: cumulative-link (proportional odds) ordinal regression on sparse text features.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): the grades share one weight vector and differ in
-ordered thresholds. x holds 1 + log(count) of the words of a bounded vocabulary; w is fitted with
-an L1 penalty (proximal gradient with momentum), so scoring looks up few words. A document's
-severity is its expected grade; it is toxic if P(grade >= 1) is at least ``cut``.
+ordered thresholds. x marks which words a text holds, and which beginnings of 4 and 5 bytes its
+longer words have (inflected and compound forms share them); w is fitted with an L1 penalty
+(proximal gradient with momentum), so scoring looks up few features. A document's severity is its
+expected grade; it is toxic if P(grade >= 1) is at least ``cut``.
 
 Fitting takes at most ``sample_rows`` labelled documents (those whose ids hash lowest; a
-documented bound) and at most ``vocabulary`` words of them. Scoring covers every whole text, one
+documented bound) and at most ``vocabulary`` features of them. Scoring covers every whole text, one
 Arrow batch at a time.
 
 Where labels say yes or no only, severity grades are bootstrapped: a two-grade model is fitted
@@ -19,8 +20,8 @@ repeated rows are scored one by one (one copy is fitted); an empty table gives n
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,6 +37,12 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_TABLE).split() if text else []
 
 
+def features(text: str | None) -> set[bytes]:
+    """The words of a text, and the marked beginnings of its longer words."""
+    ws = set(tokens(text))
+    return ws | {w[:5] + b"*" for w in ws if len(w) > 5} | {w[:4] + b"*" for w in ws if len(w) > 4}
+
+
 @dataclass
 class OrdinalModel:
     weights: dict[bytes, float] = field(default_factory=dict)
@@ -44,8 +51,7 @@ class OrdinalModel:
 
     def margin(self, text: str | None) -> float:
         w = self.weights
-        count = Counter(tokens(text))
-        return sum(w[t] * (1.0 + float(np.log(count[t]))) for t in sorted(count.keys() & w.keys()))
+        return sum(w[t] for t in sorted(features(text) & w.keys()))
 
     def above(self, margin: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold k; rows x thresholds, falling along a row."""
@@ -55,20 +61,36 @@ class OrdinalModel:
         return self.base + self.above(margin).sum(axis=1)
 
 
-class _Rows:
-    """Sparse rows with products in both directions."""
-
-    def __init__(self, counts: list[dict[bytes, int]], vocabulary: dict[bytes, int]):
-        cols, vals, lens = [], [], []
-        for c in counts:
-            ids = [(vocabulary[t], n) for t, n in c.items() if t in vocabulary]
-            lens.append(len(ids))
-            cols.extend(i for i, _ in ids)
-            vals.extend(n for _, n in ids)
-        self.cols = np.array(cols, dtype=np.int64)
-        self.vals = 1.0 + np.log(np.array(vals, dtype=np.float64)) if vals else np.zeros(0)
-        self.rows = np.repeat(np.arange(len(counts)), lens)
-        self.shape = (len(counts), len(vocabulary))
+class Sample:
+    """The features of the rows to fit on, as flat arrays: an entry costs a few bytes."""
+
+    def __init__(self, rows: Iterable[Collection[bytes]] = ()):
+        ids: dict[bytes, int] = {}
+        cols, lens = array("i"), array("i")
+        for r in rows:
+            lens.append(len(r))
+            cols.extend(ids.setdefault(t, len(ids)) for t in r)
+        self.tokens = list(ids)
+        self.cols = np.array(cols, dtype=np.int32)
+        self.vals = np.ones(len(cols), dtype=np.float32)
+        self.rows = np.repeat(np.arange(len(lens), dtype=np.int32), np.array(lens, dtype=np.int64))
+        self.shape = (len(lens), len(ids))
+
+    def kept(self, least: int, most: int) -> "Sample":
+        """Only tokens of at least ``least`` rows, the ``most`` most frequent (ties by token)."""
+        df = np.bincount(self.cols, minlength=self.shape[1])
+        order = sorted(np.flatnonzero(df >= least), key=lambda i: (-df[i], self.tokens[i]))[:most]
+        new = np.full(self.shape[1], -1, dtype=np.int32)
+        new[order] = np.arange(len(order), dtype=np.int32)
+        cols = new[self.cols]
+        out = Sample()
+        out.tokens = [self.tokens[i] for i in order]
+        out.cols, out.vals, out.rows = cols[cols >= 0], self.vals[cols >= 0], self.rows[cols >= 0]
+        out.shape = (self.shape[0], len(order))
+        return out
+
+    def margins(self, model: OrdinalModel) -> np.ndarray:
+        return self.dot(np.array([model.weights.get(t, 0.0) for t in self.tokens]))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, self.vals * w[self.cols], self.shape[0])
@@ -96,21 +118,20 @@ def _loss_slopes(s: np.ndarray, y: np.ndarray, th: np.ndarray) -> tuple[np.ndarr
     return (d_hi - d_lo) / n, g_th
 
 
-def fit(counts: list[dict[bytes, int]], grades: np.ndarray, vocabulary: int = 50_000, l1: float = 2e-4, steps: int = 300) -> OrdinalModel:
-    """Fit on token counts and grades 0, 1, ...; deterministic."""
+def fit(sample: Sample, grades: np.ndarray, vocabulary: int = 50_000, l1: float = 2e-4, steps: int = 300) -> OrdinalModel:
+    """Fit on a sample and its grades 0, 1, ...; deterministic."""
     levels = np.unique(grades)
     if len(levels) < 2:
         return OrdinalModel(base=int(levels[0]) if len(levels) else 0)
     y = np.searchsorted(levels, grades)
-    df = Counter(t for c in counts for t in c)
-    kept = sorted((t for t, n in df.items() if n >= 3), key=lambda t: (-df[t], t))[:vocabulary]
-    x = _Rows(counts, {t: i for i, t in enumerate(kept)})
+    x = sample.kept(3, vocabulary)
+    kept = x.tokens
     k = len(levels) - 1
     share = np.clip(np.array([(y <= j).mean() for j in range(k)]), 1e-4, 1 - 1e-4)
     th = np.log(share / (1 - share))
-    # Columns are scaled by their spread, so that common words don't set the step for rare ones.
-    scale = 1.0 / np.sqrt(np.bincount(x.cols, x.vals**2, x.shape[1]) / len(y) + 1e-6)
-    x.vals = x.vals * scale[x.cols]
+    # Columns are scaled by the root of their spread: a compromise between common and rare features.
+    scale = np.power(np.bincount(x.cols, x.vals**2, len(kept)) / len(y) + 1e-6, -0.25)
+    x.vals = x.vals * scale[x.cols].astype(np.float32)
     w, mw, vw = np.zeros(len(kept)), np.zeros(len(kept)), np.zeros(len(kept))
     mt, vt = np.zeros(k), np.zeros(k)
     for step in range(1, steps + 1):
@@ -131,37 +152,34 @@ def fit(counts: list[dict[bytes, int]], grades: np.ndarray, vocabulary: int = 50
     return OrdinalModel(weights, spread, int(levels[0]))
 
 
-def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        count = [Counter(tokens(t)) for t in b["t_text"]]
-        yield pd.DataFrame({"t_label": b["t_label"], "t_words": [b" ".join(c) for c in count], "t_counts": [list(c.values()) for c in count]})
+        yield pd.DataFrame({"t_label": b["t_label"], "t_words": [b" ".join(sorted(features(t))) for t in b["t_text"]]})
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: Column, sample_rows: int) -> tuple[list[dict[bytes, int]], np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, label: Column, sample_rows: int) -> tuple[Sample, np.ndarray]:
     lab = labels.select(F.col("doc_id").alias("l_id"), label.cast("int").alias("t_label")).where("l_id is not null and t_label is not null")
     lab = lab.groupBy("l_id").agg(F.max("t_label").alias("t_label"))
     lab = lab.orderBy(F.xxhash64("l_id"), "l_id").limit(sample_rows)
     d = docs.select("doc_id", F.col("text").alias("t_text"))
     x = d.join(F.broadcast(lab), F.col("doc_id") == F.col("l_id"))  # at most sample_rows rows
     x = x.select("doc_id", "t_label", "t_text").dropDuplicates(["doc_id"]).drop("doc_id")
-    got = x.mapInPandas(_count_rows, "t_label int, t_words binary, t_counts array<int>").toPandas()
-    counts = [dict(zip(bytes(w).split(b" "), c, strict=False)) if len(c) else {} for w, c in zip(got["t_words"], got["t_counts"], strict=True)]
-    order = sorted(range(len(counts)), key=lambda i: bytes(got["t_words"][i]))  # sums don't depend on arrival
-    return [counts[i] for i in order], got["t_label"].to_numpy(dtype=np.int64)[order]
+    got = x.mapInPandas(_feature_rows, "t_label int, t_words binary").toPandas()
+    order = sorted(range(len(got)), key=lambda i: bytes(got["t_words"][i]))  # sums don't depend on arrival
+    return Sample(bytes(got["t_words"][i]).split() for i in order), got["t_label"].to_numpy(dtype=np.int64)[order]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: Column | None = None, sample_rows: int = 12_000, graded: bool = False) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, label: Column | None = None, sample_rows: int = 8_000, graded: bool = False) -> OrdinalModel:
     """Fit on labelled rows. With ``graded`` the label is a grade 0, 1, ...; else yes or no."""
-    counts, y = training_rows(docs, labels, F.col("toxic") if label is None else label, sample_rows)
+    sample, y = training_rows(docs, labels, F.col("toxic") if label is None else label, sample_rows)
     if graded or not (y > 0).any() or (y > 0).all():
-        return fit(counts, y)
+        return fit(sample, y)
     y = (y > 0).astype(np.int64)
-    first = fit(counts, y)
-    s = np.array([sum(first.weights.get(t, 0.0) * (1 + np.log(n)) for t, n in c.items()) for c in counts])
-    return fit(counts, y + (y > 0) * (s > np.median(s[y > 0])))
+    s = sample.margins(fit(sample, y))
+    return fit(sample, y + (y > 0) * (s > np.median(s[y > 0])))
 
 
-def score(docs: DataFrame, model: OrdinalModel, cut: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, cut: float = 0.4) -> DataFrame:
     """``docs`` with severity (expected grade), p_toxic, grade (the likeliest) and toxic."""
     keep = [c for c in docs.columns if c not in ("severity", "p_toxic", "grade", "toxic")]
     verdict = F.pandas_udf(_scorer(model), "struct<severity double, p_toxic double, grade int>")
@@ -188,7 +206,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs.select("doc_id", "text"), model).select("doc_id", "severity", "p_toxic", "grade", "toxic")
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.4) -> DataFrame:
     """The rows of ``docs`` that are not toxic, with the columns of ``docs``."""
     model = train(docs, labels)
     verdict = F.pandas_udf(_scorer(model), "struct<severity double, p_toxic double, grade int>")
