@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, media, mixing, sharding, simhash, suffix_dedup, toxicity, url_filter, warc
+from . import decontamination, fuzzy_passages, media, mixing, sharding, simhash, suffix_dedup, toxicity, url_filter, warc
 from .common import read
 from .oracle import ORACLE
 
@@ -41,6 +41,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_passages.passage_classes(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(read(spark, sf_dir, "documents"))
 
@@ -54,4 +58,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_media, op5_warc, op6_sharding, op8_simhash, op9_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_media, op5_warc, op6_sharding, op7_fuzzy_passages, op8_simhash, op9_mixing, op10_url_filter)}
