@@ -1,0 +1,71 @@
+"""Cells prepared once per row, and their comparison under a protocol."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import composition, units
+from ..functions.text import is_null, normalised
+from ..schema import ALL_COLS, DIMENSIONS, PLAIN_TOLERANCE, TOLERANCES
+
+
+def prepare_cells(df: DataFrame, into: str = "cells") -> DataFrame:
+    """Add a struct with, per column, what comparisons need: null, norm, plain number, quantity;
+    for catalyst also its composition. Done before pairing, so a cell is parsed once."""
+    out = []
+    for c in ALL_COLS:
+        v = F.col(c)
+        norm = normalised(v)
+        plain = F.regexp_replace(norm, "%+$", "")
+        parts = [is_null(v).alias("null"), norm.alias("norm")]
+        if c in TOLERANCES:
+            number = F.when(plain.rlike(rf"^{units.NUMBER}$"), plain.try_cast("double"))
+            parts += [number.alias("number"), units.parse_quantity(v, DIMENSIONS.get(c)).alias("q")]
+        if c == "catalyst":
+            parts += [v.isNull().alias("absent"), composition.parse_catalyst(v).alias("parsed")]
+        out.append(F.struct(*parts).alias(c))
+    return df.withColumn(into, F.struct(*out))
+
+
+def cell_kind(pred: Column, truth: Column, col: str, p: dict[str, Column], composed: Column | None = None) -> Column:
+    """``exact``, ``range`` or ``miss`` for prepared cells; ``p`` has the protocol's switches.
+    ``composed`` is whether catalyst cells are compared by composition."""
+    a, b = pred["norm"], truth["norm"]
+    hit = lambda ok: F.when(ok, F.lit("exact")).otherwise(F.lit("miss"))
+    same = hit(a == b)
+    kind = F.when(a.isNull() & b.isNull(), F.lit("exact")).when(a.isNull() | b.isNull(), F.lit("miss"))
+    if col in TOLERANCES:
+        mode, tol = TOLERANCES[col]
+        own = F.when(p["dim_tolerance"], F.lit(mode)).otherwise(F.lit(PLAIN_TOLERANCE[0]))
+        wide = F.when(p["dim_tolerance"], F.lit(tol)).otherwise(F.lit(PLAIN_TOLERANCE[1]))
+        q = units.quantity_kind(pred["q"], truth["q"], own, wide)
+        audited = F.when((q == "range") & ~p["interval"], same).when(q == "no_parse", same).otherwise(q)
+        x, y = pred["number"], truth["number"]
+        near = F.when(own == "abs", F.abs(x - y) <= wide).otherwise(F.abs(x - y) / F.greatest(F.abs(y), F.lit(1e-9)) <= wide)
+        kind = kind.when(p["unit_norm"], audited).otherwise(F.when(x.isNotNull() & y.isNotNull(), hit(near)).otherwise(same))
+    else:
+        kind = kind.otherwise(same)
+    if col == "catalyst" and composed is not None:
+        kind = F.when(composed, hit(composition.composition_match(pred["parsed"], truth["parsed"]))).otherwise(kind)
+    return kind
+
+
+def gate(pred: Column, truth: Column, p: dict[str, Column]) -> Column:
+    """Whether two rows may be one experiment: composition decides where it is asked to."""
+    a, b = pred["catalyst"], truth["catalyst"]
+    return ~p["c3_gate"] | a["absent"] | b["absent"] | composition.composition_match(a["parsed"], b["parsed"])
+
+
+def overlap(pred: Column, truth: Column, p: dict[str, Column]) -> Column:
+    """Cells on which two rows agree. With a floor only cells that say something count; without,
+    all scored columns do. Composition never counts here, only in the gate."""
+    informed, loose = F.lit(0), F.lit(0)
+    for c in ALL_COLS:
+        agree = cell_kind(pred[c], truth[c], c, p) != "miss"
+        if c == "paper":
+            loose = loose + (agree & p["score_paper"]).cast("int")
+        else:
+            loose = loose + agree.cast("int")
+            informed = informed + (agree & ~pred[c]["null"] & ~truth[c]["null"]).cast("int")
+    return F.when(p["min_overlap"] <= 0, loose).otherwise(informed)
