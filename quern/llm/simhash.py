@@ -289,7 +289,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     x = ids.join(groups, F.col("g_key").eqNullSafe(F.col("key"))).groupBy("group")
     best = x.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("g_key"))).alias("b"))
     best = best.select(F.col("b.doc_id").alias("b_id"), F.col("b.g_key").alias("b_key"))
-    named = docs.select(F.struct(*docs.columns).alias("g_row"), "doc_id", F.sha2("text", 256).alias("g_key"), F.monotonically_increasing_id().alias("g_uid"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("g_row"), "doc_id", F.sha2("text", 256).alias("g_key"), F.monotonically_increasing_id().alias("g_uid"))
     kept = named.join(best, F.col("doc_id").eqNullSafe(F.col("b_id")) & F.col("g_key").eqNullSafe(F.col("b_key")))
     repeated = ids.groupBy("doc_id", "g_key").count().where("count > 1").limit(1).count()
     if repeated:

@@ -113,5 +113,5 @@ def judge_urls(
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """The rows of ``pages`` whose URL is allowed, with the columns of ``pages``."""
-    judged = judge_urls(pages.select(F.struct(*pages.columns).alias("p_row"), F.col(f"`{url_col}`").alias("p_url")), rules, "p_url", default)
+    judged = judge_urls(pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("p_row"), F.col(f"`{url_col}`").alias("p_url")), rules, "p_url", default)
     return judged.where("verdict = 'allow'").select("p_row.*")
