@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 # White space, and the dashes that documents print for "-".
 WS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 NOT_WS = r"[^\t-\r\x1c-\x20\x85\xa0  -     　]"
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 DASHES = "‐‑‒–—―−"
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
 
@@ -31,7 +32,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def words(c: Column) -> Column:

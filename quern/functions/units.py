@@ -13,8 +13,7 @@ from .text import DASHES, NOT_WS, NULL_QUANTITY, WS, let, strip
 
 # The number grammar, range separators and units.
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-RANGE = rf"(?di)^({NUMBER}){WS}*(?:-|to|~|±|\.\.\.|\.\.){WS}*({NUMBER}){WS}*(.*)$"
-SINGLE = rf"(?d)^({NUMBER}){WS}*(.*)$"
+WRITTEN = rf"(?di)^(?:({NUMBER}){WS}*(?:-|to|~|±|\.\.\.|\.\.){WS}*({NUMBER})|({NUMBER})){WS}*(.*)$"
 UNIT_NOISE = rf"[°º∘˚℃℉._]|{WS}"
 KPA = {
     "pa": 1e-3, "hpa": 0.1, "kpa": 1.0, "mpa": 1e3, "gpa": 1e6, "bar": 100.0, "mbar": 0.1, "atm": 101.325,
@@ -49,14 +48,20 @@ def parse_quantity(text: Column, dimension: str | None = None, degree_glyphs: bo
     """The quantity in ``text``. ``degree_glyphs`` reads the signs for degrees Celsius and Fahrenheit
     that are one character; by default they are dropped and the number is taken for kelvins."""
     def from_parts(s: Column) -> Column:
-        is_range = s.rlike(RANGE)
-        group = lambda r, one: F.when(is_range, F.regexp_extract(s, RANGE, r)).otherwise(F.regexp_extract(s, SINGLE, one))
-        parts = F.struct(
-            group(1, 1).try_cast("double").alias("a"), group(2, 1).try_cast("double").alias("b"), strip(group(3, 2)).alias("tail"), F.lower(s).alias("s")
-        )
-        return let(parts, with_unit)
+        # One match gives low end, high end, single number and tail, parted by a control character.
+        parts = F.split(F.regexp_replace(s, WRITTEN, "$1\x01$2\x01$3\x01$4"), "\x01", -1)
+        return let(F.struct(parts.alias("m"), F.lower(s).isin(*NULL_QUANTITY).alias("none")), numbers)
+
+    def numbers(x: Column) -> Column:
+        m = x["m"]
+        one = F.get(m, F.lit(2))
+        low, high = F.when(one != "", one).otherwise(F.get(m, F.lit(0))), F.when(one != "", one).otherwise(F.get(m, F.lit(1)))
+        parts = F.struct(low.try_cast("double").alias("a"), high.try_cast("double").alias("b"), strip(F.get(m, F.lit(3))).alias("tail"))
+        return F.when((F.size(m) == 4) & ~x["none"], let(parts, with_unit))
 
     def with_unit(x: Column) -> Column:
+        if dimension is None:
+            return finished(x)
         first = F.regexp_extract(x["tail"], rf"^({NOT_WS}+)", 1)
         unit = F.btrim(squash_unit(first), F.lit("%"))
         return let(F.struct(x.alias("x"), first.alias("first"), unit.alias("unit")), converted)
@@ -64,7 +69,7 @@ def parse_quantity(text: Column, dimension: str | None = None, degree_glyphs: bo
     def converted(y: Column) -> Column:
         x, glyph = y["x"], y["first"] if degree_glyphs else None
         a, b = convert(x["a"], y["unit"], dimension, glyph), convert(x["b"], y["unit"], dimension, glyph)
-        return let(F.struct(a.alias("a"), b.alias("b"), x["tail"].alias("tail"), x["s"].alias("s")), finished)
+        return let(F.struct(a.alias("a"), b.alias("b"), x["tail"].alias("tail")), finished)
 
     def finished(z: Column) -> Column:
         q = F.struct(
@@ -74,7 +79,7 @@ def parse_quantity(text: Column, dimension: str | None = None, degree_glyphs: bo
             F.lit(dimension).cast("string").alias("dimension"),
             text.alias("raw"),
         )
-        return F.when(z["a"].isNotNull() & z["b"].isNotNull() & ~z["s"].isin(*NULL_QUANTITY), q)
+        return F.when(z["a"].isNotNull() & z["b"].isNotNull(), q)
 
     return F.when(text.isNotNull(), let(F.translate(strip(text), DASHES, "-" * len(DASHES)), from_parts))
 

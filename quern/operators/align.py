@@ -15,20 +15,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import ALL_COLS
+from ..schema import ALL_COLS, Protocol
 from . import compare
 
-SWITCHES = ("dim_tolerance", "unit_norm", "interval", "min_overlap", "penalise_unmatched", "score_paper", "c3_match", "c3_gate")
 
 
-def switches() -> dict[str, Column]:
-    return {s: F.col(s) for s in SWITCHES}
+def score_pairs(truth: DataFrame, preds: DataFrame, protocols: list[Protocol], keys: list[str]) -> DataFrame:
+    """keys, protocol, min_overlap, gt_ord, pred_ord, score; a gated pair has score -1.
 
-
-def score_pairs(truth: DataFrame, preds: DataFrame, protocols: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, protocol, switches, gt_ord, pred_ord, score; a gated pair has score -1.
-
-    ``truth`` and ``preds`` hold the ``keys`` they share, gt_ord or pred_ord, and the columns.
+    ``truth`` and ``preds`` hold the ``keys`` they share, gt_ord or pred_ord, and the columns. Pairs
+    are formed once; every protocol's score is an expression over the same prepared cells.
     """
     shared = [k for k in keys if k in truth.columns and k in preds.columns]
     t = compare.prepare_cells(truth, "t").select(*[F.col(k).alias(f"t_{k}") for k in shared], "gt_ord", "t")
@@ -37,10 +33,15 @@ def score_pairs(truth: DataFrame, preds: DataFrame, protocols: DataFrame, keys:
     for k in shared:
         same = F.col(k) == F.col(f"t_{k}")
         on = same if on is None else on & same
-    x = p.join(t, on).crossJoin(F.broadcast(protocols))  # a row per protocol: at most a few dozen
-    s = switches()
-    score = F.when(compare.gate(F.col("p"), F.col("t"), s), compare.overlap(F.col("p"), F.col("t"), s)).otherwise(-1)
-    return x.select(*keys, "protocol", *SWITCHES, "gt_ord", "pred_ord", score.alias("score"))
+    x = p.join(t, on)
+    scores = []
+    for q in protocols:
+        score = compare.overlap(F.col("p"), F.col("t"), q)
+        if q.c3_gate:
+            score = F.when(compare.gate(F.col("p"), F.col("t")), score).otherwise(-1)
+        scores.append(F.struct(F.lit(q.name).alias("protocol"), F.lit(q.min_overlap).alias("min_overlap"), score.alias("score")))
+    x = x.select(*keys, "gt_ord", "pred_ord", F.explode(F.array(*scores)).alias("s"))
+    return x.select(*keys, "s.protocol", "s.min_overlap", "gt_ord", "pred_ord", "s.score")
 
 
 def greedy(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,7 +88,7 @@ def greedy_large(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return ordered.mapInPandas(run, schema)
 
 
-def cell_outcomes(truth: DataFrame, preds: DataFrame, matches: DataFrame, protocols: DataFrame, keys: list[str]) -> DataFrame:
+def cell_outcomes(truth: DataFrame, preds: DataFrame, matches: DataFrame, protocols: list[Protocol], keys: list[str]) -> DataFrame:
     """One row per scored cell: keys, protocol, side (gt or pred), gt_ord, pred_ord, column and the
     counts tp, tp_rng, fp, fp_un, fn, fn_fig. ``preds`` may have a _text_recoverable map.
 
@@ -99,17 +100,17 @@ def cell_outcomes(truth: DataFrame, preds: DataFrame, matches: DataFrame, protoc
     recoverable = F.col("_text_recoverable") if "_text_recoverable" in preds.columns else F.lit(None).cast("map<string,boolean>")
     p = p.select(*keys, "pred_ord", "p", recoverable.alias("_text_recoverable"))
     t = compare.prepare_cells(truth, "t").select(*shared, "gt_ord", "t")
+    names = F.explode(F.array(*[F.lit(q.name) for q in protocols])).alias("protocol")
     groups = [k for k in keys if k not in shared]
-    grid = t.crossJoin(F.broadcast(protocols))
     if groups:  # runs of the grid: versions and repeats
-        grid = grid.crossJoin(F.broadcast(preds.select(*groups).distinct()))
+        t = t.crossJoin(F.broadcast(preds.select(*groups).distinct()))
     by = [*keys, "protocol"]
-    own = grid.join(matches, [*by, "gt_ord"], "left").join(p, [*keys, "pred_ord"], "left")
-    s = switches()
+    own = t.select("*", names).join(matches, [*by, "gt_ord"], "left").join(p, [*keys, "pred_ord"], "left")
+    of = lambda q, x: F.when(F.col("protocol") == q.name, x)
     cols = []
     for c in ALL_COLS:
         a, b = F.col("p")[c], F.col("t")[c]
-        kind = compare.cell_kind(a, b, c, s, composed=s["c3_match"])
+        kind = F.coalesce(*[of(q, compare.cell_kind(a, b, c, q, composed=q.c3_match)) for q in protocols])
         shown = F.coalesce(F.try_element_at("_text_recoverable", F.lit(c)), F.lit(True))
         outcome = (
             F.when(F.col("pred_ord").isNull(), F.when(~b["null"], F.lit("fn")))
@@ -118,19 +119,19 @@ def cell_outcomes(truth: DataFrame, preds: DataFrame, matches: DataFrame, protoc
             .when(a["null"], F.when(shown, F.lit("fn")).otherwise(F.lit("fn_fig")))
             .otherwise(kind)
         )
-        scored = F.lit(True) if c != "paper" else s["score_paper"]
-        cols.append(F.struct(F.lit(c).alias("column"), F.when(scored, outcome).alias("outcome"), scored.alias("scored")))
-    cells = own.select(*by, F.lit("gt").alias("side"), "gt_ord", "pred_ord", F.explode(F.array(*cols)).alias("c")).where("c.scored")
-    cells = cells.select(*by, "side", "gt_ord", "pred_ord", F.col("c.column").alias("column"), F.col("c.outcome").alias("outcome"))
-
-    surplus = p.crossJoin(F.broadcast(protocols)).where("penalise_unmatched")
+        cols.append(F.struct(F.lit(c).alias("column"), outcome.alias("outcome")))
+    paper = [q.name for q in protocols if q.score_paper]
+    scored = (F.col("column") != "paper") | F.col("protocol").isin(*paper) if paper else F.col("column") != "paper"
+    cells = own.select(*by, F.lit("gt").alias("side"), "gt_ord", "pred_ord", F.explode(F.array(*cols)).alias("c"))
+    cells = cells.select(*by, "side", "gt_ord", "pred_ord", F.col("c.column").alias("column"), F.col("c.outcome").alias("outcome")).where(scored)
+
+    strict = [q.name for q in protocols if q.penalise_unmatched]
+    none = F.array().cast("array<string>")
+    surplus = p.select(*keys, "pred_ord", "p", F.explode(F.array(*[F.lit(n) for n in strict]) if strict else none).alias("protocol"))
     surplus = surplus.join(matches.select(*by, "pred_ord"), [*by, "pred_ord"], "left_anti")
-    extra = [
-        F.struct(F.lit(c).alias("column"), F.when(~F.col("p")[c]["null"], F.lit("fp_un")).alias("outcome"), (F.lit(True) if c != "paper" else s["score_paper"]).alias("scored"))
-        for c in ALL_COLS
-    ]
-    more = surplus.select(*by, F.lit("pred").alias("side"), F.lit(None).cast("bigint").alias("gt_ord"), "pred_ord", F.explode(F.array(*extra)).alias("c")).where("c.scored")
-    more = more.select(*by, "side", "gt_ord", "pred_ord", F.col("c.column").alias("column"), F.col("c.outcome").alias("outcome"))
+    extra = [F.struct(F.lit(c).alias("column"), F.when(~F.col("p")[c]["null"], F.lit("fp_un")).alias("outcome")) for c in ALL_COLS]
+    more = surplus.select(*by, F.lit("pred").alias("side"), F.lit(None).cast("bigint").alias("gt_ord"), "pred_ord", F.explode(F.array(*extra)).alias("c"))
+    more = more.select(*by, "side", "gt_ord", "pred_ord", F.col("c.column").alias("column"), F.col("c.outcome").alias("outcome")).where(scored)
     x = cells.unionByName(more)
     count = lambda *o: F.coalesce(F.col("outcome").isin(*o), F.lit(False)).cast("long")
     return x.select(
@@ -144,7 +145,7 @@ def cell_outcomes(truth: DataFrame, preds: DataFrame, matches: DataFrame, protoc
     )
 
 
-def side_by_side(truth: DataFrame, preds: DataFrame, matches: DataFrame, protocols: DataFrame, keys: list[str]) -> DataFrame:
+def side_by_side(truth: DataFrame, preds: DataFrame, matches: DataFrame, protocols: list[Protocol], keys: list[str]) -> DataFrame:
     """Per cell of each truth row: truth, prediction and a mark; then the surplus predictions with
     their number of filled cells (column null)."""
     cells = cell_outcomes(truth, preds, matches, protocols, keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import composition, units
 from ..functions.text import is_null, normalised
-from ..schema import ALL_COLS, DIMENSIONS, PLAIN_TOLERANCE, TOLERANCES
+from ..schema import ALL_COLS, DIMENSIONS, PLAIN_TOLERANCE, SCORE_COLS, TOLERANCES, Protocol
 
 
 def prepare_cells(df: DataFrame, into: str = "cells") -> DataFrame:
@@ -28,44 +28,43 @@ def prepare_cells(df: DataFrame, into: str = "cells") -> DataFrame:
     return df.withColumn(into, F.struct(*out))
 
 
-def cell_kind(pred: Column, truth: Column, col: str, p: dict[str, Column], composed: Column | None = None) -> Column:
-    """``exact``, ``range`` or ``miss`` for prepared cells; ``p`` has the protocol's switches.
-    ``composed`` is whether catalyst cells are compared by composition."""
+def cell_kind(pred: Column, truth: Column, col: str, p: Protocol, composed: bool = False) -> Column:
+    """``exact``, ``range`` or ``miss`` for prepared cells. The protocol is known when the plan is
+    made, so only its own branch is in the plan. ``composed`` compares catalysts by composition."""
     a, b = pred["norm"], truth["norm"]
     hit = lambda ok: F.when(ok, F.lit("exact")).otherwise(F.lit("miss"))
+    if col == "catalyst" and composed:
+        return hit(composition.composition_match(pred["parsed"], truth["parsed"]))
     same = hit(a == b)
-    kind = F.when(a.isNull() & b.isNull(), F.lit("exact")).when(a.isNull() | b.isNull(), F.lit("miss"))
     if col in TOLERANCES:
-        mode, tol = TOLERANCES[col]
-        own = F.when(p["dim_tolerance"], F.lit(mode)).otherwise(F.lit(PLAIN_TOLERANCE[0]))
-        wide = F.when(p["dim_tolerance"], F.lit(tol)).otherwise(F.lit(PLAIN_TOLERANCE[1]))
-        q = units.quantity_kind(pred["q"], truth["q"], own, wide)
-        audited = F.when((q == "range") & ~p["interval"], same).when(q == "no_parse", same).otherwise(q)
-        x, y = pred["number"], truth["number"]
-        near = F.when(own == "abs", F.abs(x - y) <= wide).otherwise(F.abs(x - y) / F.greatest(F.abs(y), F.lit(1e-9)) <= wide)
-        kind = kind.when(p["unit_norm"], audited).otherwise(F.when(x.isNotNull() & y.isNotNull(), hit(near)).otherwise(same))
+        mode, tol = (F.lit(x) for x in (TOLERANCES[col] if p.dim_tolerance else PLAIN_TOLERANCE))
+        if p.unit_norm:
+            q = units.quantity_kind(pred["q"], truth["q"], mode, tol)
+            if not p.interval:
+                q = F.when(q == "range", same).otherwise(q)
+            numeric = F.when(pred["q"].isNull() | truth["q"].isNull(), same).otherwise(q)
+        else:
+            x, y = pred["number"], truth["number"]
+            near = F.abs(x - y) <= tol if p.dim_tolerance and TOLERANCES[col][0] == "abs" else F.abs(x - y) / F.greatest(F.abs(y), F.lit(1e-9)) <= tol
+            numeric = F.when(x.isNull() | y.isNull(), same).otherwise(hit(near))
     else:
-        kind = kind.otherwise(same)
-    if col == "catalyst" and composed is not None:
-        kind = F.when(composed, hit(composition.composition_match(pred["parsed"], truth["parsed"]))).otherwise(kind)
-    return kind
+        numeric = same
+    return F.when(a.isNull() & b.isNull(), F.lit("exact")).when(a.isNull() | b.isNull(), F.lit("miss")).otherwise(numeric)
 
 
-def gate(pred: Column, truth: Column, p: dict[str, Column]) -> Column:
-    """Whether two rows may be one experiment: composition decides where it is asked to."""
+def gate(pred: Column, truth: Column) -> Column:
+    """Whether two rows may be one experiment by their catalysts; an absent name fits any."""
     a, b = pred["catalyst"], truth["catalyst"]
-    return ~p["c3_gate"] | a["absent"] | b["absent"] | composition.composition_match(a["parsed"], b["parsed"])
+    return a["absent"] | b["absent"] | composition.composition_match(a["parsed"], b["parsed"])
 
 
-def overlap(pred: Column, truth: Column, p: dict[str, Column]) -> Column:
+def overlap(pred: Column, truth: Column, p: Protocol) -> Column:
     """Cells on which two rows agree. With a floor only cells that say something count; without,
     all scored columns do. Composition never counts here, only in the gate."""
-    informed, loose = F.lit(0), F.lit(0)
-    for c in ALL_COLS:
+    total = F.lit(0)
+    for c in ALL_COLS if p.score_paper and p.min_overlap <= 0 else SCORE_COLS:
         agree = cell_kind(pred[c], truth[c], c, p) != "miss"
-        if c == "paper":
-            loose = loose + (agree & p["score_paper"]).cast("int")
-        else:
-            loose = loose + agree.cast("int")
-            informed = informed + (agree & ~pred[c]["null"] & ~truth[c]["null"]).cast("int")
-    return F.when(p["min_overlap"] <= 0, loose).otherwise(informed)
+        if p.min_overlap > 0:
+            agree = ~pred[c]["null"] & ~truth[c]["null"] & agree
+        total = total + agree.cast("int")
+    return total

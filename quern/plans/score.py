@@ -22,7 +22,7 @@ def score_run(
     Gives cells, columns (pooled per column), scores (pooled per run) and summary (over repeats).
     """
     keys = keys or KEYS
-    table = protocol_table(truth.sparkSession, protocols or [Protocol()])
+    table = protocols or [Protocol()]
     pairs = align.score_pairs(truth, preds, table, keys)
     matches = match(pairs, keys)
     cells = align.cell_outcomes(truth, preds, matches, table, keys)

@@ -13,7 +13,7 @@ from .inputs import LINES, PREDS, REPLIES, TRUTH, register, rows
 from .operators import align, documents, ingest, manifest, metrics, tables
 from .plans import rebuild as rebuilding
 from .plans import score as scoring
-from .schema import Protocol, audit_protocols, c3_protocols, protocol_table
+from .schema import Protocol, audit_protocols, c3_protocols
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -138,7 +138,7 @@ def greedy_alignment_streamed(spark, sf_dir):
 @query(oracle.scoring([STRICT], "select paper, version, rep, gt_ord, pred_ord, score from pairs"))
 def pair_scores(spark, sf_dir):
     truth, preds = _records(spark, sf_dir)
-    x = align.score_pairs(truth, preds, protocol_table(spark, [STRICT]), scoring.KEYS)
+    x = align.score_pairs(truth, preds, [STRICT], scoring.KEYS)
     return x.select("paper", "version", "rep", "gt_ord", "pred_ord", "score")
 
 
@@ -168,7 +168,7 @@ def row_counts(spark, sf_dir):
 def side_by_side(spark, sf_dir):
     truth, preds = _records(spark, sf_dir)
     matches = scoring.score_run(truth, preds, [STRICT])["matches"]
-    x = align.side_by_side(truth, preds, matches, protocol_table(spark, [STRICT]), scoring.KEYS)
+    x = align.side_by_side(truth, preds, matches, [STRICT], scoring.KEYS)
     return x.select("paper", "version", "rep", "gt_ord", "pred_ord", "column", "mark", "n_filled")
 
 
