@@ -13,7 +13,8 @@ Arrow batch at a time.
 Where labels say yes or no only, severity grades are bootstrapped: a two-grade model is fitted
 first and the toxic rows are split at the median of its margin into grades 1 and 2.
 
-Defined cases: null or empty texts get the severity of no words; rows with a null label are not
+Defined cases: null or empty texts, and texts without any feature of the model, get the lowest
+grade; rows with a null label are not
 used; labels without a document neither; if one grade only is seen, every severity is that grade;
 repeated rows are scored one by one (one copy is fitted); an empty table gives no rows.
 """
@@ -50,8 +51,8 @@ class OrdinalModel:
     base: int = 0  # the grade of all rows if there are no thresholds
 
     def margin(self, text: str | None) -> float:
-        w = self.weights
-        return sum(w[t] for t in sorted(features(text) & w.keys()))
+        known = sorted(features(text) & self.weights.keys())
+        return sum(self.weights[t] for t in known) if known else float("-inf")
 
     def above(self, margin: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold k; rows x thresholds, falling along a row."""
@@ -118,8 +119,10 @@ def _loss_slopes(s: np.ndarray, y: np.ndarray, th: np.ndarray) -> tuple[np.ndarr
     return (d_hi - d_lo) / n, g_th
 
 
-def fit(sample: Sample, grades: np.ndarray, vocabulary: int = 50_000, l1: float = 2e-4, steps: int = 300) -> OrdinalModel:
-    """Fit on a sample and its grades 0, 1, ...; deterministic."""
+def fit(sample: Sample, grades: np.ndarray, vocabulary: int = 50_000, l1: float = 0.02, steps: int = 300) -> OrdinalModel:
+    """Fit on a sample and its grades 0, 1, ...; deterministic. The penalty is ``l1`` over the root
+    of the number of rows, as chance associations fade."""
+    l1 = l1 / max(1, len(grades)) ** 0.5
     levels = np.unique(grades)
     if len(levels) < 2:
         return OrdinalModel(base=int(levels[0]) if len(levels) else 0)

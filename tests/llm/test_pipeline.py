@@ -15,7 +15,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 def corpus():
     rng = random.Random(11)
-    v = [f"w{i}" for i in range(2500)]
+    v = [f"w{i}" for i in range(300)]
     prose = lambda n: rng.choices(v, k=n)
     rows, kind = [], {}
     items = [(i, " ".join(prose(20))) for i in range(6)]
