@@ -6,10 +6,10 @@ number. Everything is Catalyst expressions. Parse a cell once, before rows are p
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import DASHES, NOT_WS, NULL_QUANTITY, WS, let, strip
+from .text import DASHES, NOT_WS, WS, let, quoted, strip
 
 # The number grammar, range separators and units.
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
@@ -50,14 +50,13 @@ def parse_quantity(text: Column, dimension: str | None = None, degree_glyphs: bo
     def from_parts(s: Column) -> Column:
         # One match gives low end, high end, single number and tail, parted by a control character.
         parts = F.split(F.regexp_replace(s, WRITTEN, "$1\x01$2\x01$3\x01$4"), "\x01", -1)
-        return let(F.struct(parts.alias("m"), F.lower(s).isin(*NULL_QUANTITY).alias("none")), numbers)
+        return let(parts, numbers)
 
-    def numbers(x: Column) -> Column:
-        m = x["m"]
+    def numbers(m: Column) -> Column:
         one = F.get(m, F.lit(2))
         low, high = F.when(one != "", one).otherwise(F.get(m, F.lit(0))), F.when(one != "", one).otherwise(F.get(m, F.lit(1)))
         parts = F.struct(low.try_cast("double").alias("a"), high.try_cast("double").alias("b"), strip(F.get(m, F.lit(3))).alias("tail"))
-        return F.when((F.size(m) == 4) & ~x["none"], let(parts, with_unit))
+        return F.when(F.size(m) == 4, let(parts, with_unit))  # words for nothing have no number
 
     def with_unit(x: Column) -> Column:
         if dimension is None:
@@ -84,6 +83,26 @@ def parse_quantity(text: Column, dimension: str | None = None, degree_glyphs: bo
     return F.when(text.isNotNull(), let(F.translate(strip(text), DASHES, "-" * len(DASHES)), from_parts))
 
 
+def with_quantities(df: DataFrame, columns: dict[str, tuple[Column, str | None]]) -> DataFrame:
+    """Add quantity columns, name -> (text, dimension). The steps of ``parse_quantity`` as
+    projections, so that wide tables are parsed in generated code."""
+    m, x, u = (lambda n, k=k: f"{n}__{k}" for k in "mxu")
+    df = df.withColumns({m(n): F.split(F.regexp_replace(F.translate(strip(c), DASHES, "-" * len(DASHES)), WRITTEN, "$1\x01$2\x01$3\x01$4"), "\x01", -1) for n, (c, _) in columns.items()})
+    part = lambda n, k: F.get(F.col(quoted(m(n))), F.lit(k))
+    end = lambda n, k: F.when(part(n, 2) != "", part(n, 2)).otherwise(part(n, k)).try_cast("double")
+    df = df.withColumns({x(n): F.struct(end(n, 0).alias("a"), end(n, 1).alias("b"), strip(part(n, 3)).alias("tail")) for n in columns})
+    field = lambda n, k: F.col(quoted(x(n)))[k]
+    unit = lambda n: F.btrim(squash_unit(F.regexp_extract(field(n, "tail"), rf"^({NOT_WS}+)", 1)), F.lit("%"))
+    df = df.withColumns({u(n): unit(n) for n, (_, d) in columns.items() if d})
+    made = {}
+    for n, (c, d) in columns.items():
+        a, b = (convert(field(n, k), F.col(quoted(u(n))) if d else F.lit(""), d) for k in "ab")
+        ok = (F.size(F.col(quoted(m(n)))) == 4) & a.isNotNull() & b.isNotNull()
+        tail = F.when(field(n, "tail") != "", field(n, "tail"))
+        made[n] = F.when(ok, F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), tail.alias("unit"), F.lit(d).cast("string").alias("dimension"), c.alias("raw")))
+    return df.withColumns(made).drop(*[k(n) for n in columns for k in (m, x, u)])
+
+
 def to_kpa(text: Column) -> Column:
     return parse_quantity(text, "pressure")["lo"]
 

@@ -27,8 +27,10 @@ def score_pairs(truth: DataFrame, preds: DataFrame, protocols: list[Protocol], k
     are formed once; every protocol's score is an expression over the same prepared cells.
     """
     shared = [k for k in keys if k in truth.columns and k in preds.columns]
-    t = compare.prepare_cells(truth, "t").select(*[F.col(k).alias(f"t_{k}") for k in shared], "gt_ord", "t")
-    p = compare.prepare_cells(preds, "p").select(*keys, "pred_ord", "p")
+    # Rows move while they are short; cells are parsed where the pairs will be formed.
+    truth, preds = truth.repartition(*shared), preds.repartition(*shared)
+    t = compare.prepare_cells(truth, protocols, "t").select(*[F.col(k).alias(f"t_{k}") for k in shared], "gt_ord", "t")
+    p = compare.prepare_cells(preds, protocols, "p").select(*keys, "pred_ord", "p")
     on = None
     for k in shared:
         same = F.col(k) == F.col(f"t_{k}")
@@ -96,24 +98,31 @@ def cell_outcomes(truth: DataFrame, preds: DataFrame, matches: DataFrame, protoc
     penalises them. ``truth`` must hold every group that is scored, also those without predictions.
     """
     shared = [k for k in keys if k in truth.columns]
-    p = compare.prepare_cells(preds, "p")
+    truth, preds = truth.repartition(*shared), preds.repartition(*shared)
+    p = compare.prepare_cells(preds, protocols, "p")
     recoverable = F.col("_text_recoverable") if "_text_recoverable" in preds.columns else F.lit(None).cast("map<string,boolean>")
     p = p.select(*keys, "pred_ord", "p", recoverable.alias("_text_recoverable"))
-    t = compare.prepare_cells(truth, "t").select(*shared, "gt_ord", "t")
+    t = compare.prepare_cells(truth, protocols, "t").select(*shared, "gt_ord", "t")
     names = F.explode(F.array(*[F.lit(q.name) for q in protocols])).alias("protocol")
     groups = [k for k in keys if k not in shared]
     if groups:  # runs of the grid: versions and repeats
         t = t.crossJoin(F.broadcast(preds.select(*groups).distinct()))
     by = [*keys, "protocol"]
-    own = t.select("*", names).join(matches, [*by, "gt_ord"], "left").join(p, [*keys, "pred_ord"], "left")
+    own = t.select("*", names).join(matches, [*by, "gt_ord"], "left")
+    # Pairs, truth rows alone and predictions alone come out of one join.
+    x = own.join(p.select("*", names), [*by, "pred_ord"], "full")
+    pair, lone = F.col("t").isNotNull() & F.col("p").isNotNull(), F.col("t").isNull()
     of = lambda q, x: F.when(F.col("protocol") == q.name, x)
+    strict = [q.name for q in protocols if q.penalise_unmatched]
+    x = x.where(~lone | F.col("protocol").isin(*strict)) if strict else x.where(~lone)
     cols = []
     for c in ALL_COLS:
         a, b = F.col("p")[c], F.col("t")[c]
         kind = F.coalesce(*[of(q, compare.cell_kind(a, b, c, q, composed=q.c3_match)) for q in protocols])
         shown = F.coalesce(F.try_element_at("_text_recoverable", F.lit(c)), F.lit(True))
         outcome = (
-            F.when(F.col("pred_ord").isNull(), F.when(~b["null"], F.lit("fn")))
+            F.when(lone, F.when(~a["null"], F.lit("fp_un")))
+            .when(~pair, F.when(~b["null"], F.lit("fn")))
             .when(a["null"] & b["null"], F.lit(None))
             .when(b["null"], F.lit("fp"))
             .when(a["null"], F.when(shown, F.lit("fn")).otherwise(F.lit("fn_fig")))
@@ -122,17 +131,9 @@ def cell_outcomes(truth: DataFrame, preds: DataFrame, matches: DataFrame, protoc
         cols.append(F.struct(F.lit(c).alias("column"), outcome.alias("outcome")))
     paper = [q.name for q in protocols if q.score_paper]
     scored = (F.col("column") != "paper") | F.col("protocol").isin(*paper) if paper else F.col("column") != "paper"
-    cells = own.select(*by, F.lit("gt").alias("side"), "gt_ord", "pred_ord", F.explode(F.array(*cols)).alias("c"))
-    cells = cells.select(*by, "side", "gt_ord", "pred_ord", F.col("c.column").alias("column"), F.col("c.outcome").alias("outcome")).where(scored)
-
-    strict = [q.name for q in protocols if q.penalise_unmatched]
-    none = F.array().cast("array<string>")
-    surplus = p.select(*keys, "pred_ord", "p", F.explode(F.array(*[F.lit(n) for n in strict]) if strict else none).alias("protocol"))
-    surplus = surplus.join(matches.select(*by, "pred_ord"), [*by, "pred_ord"], "left_anti")
-    extra = [F.struct(F.lit(c).alias("column"), F.when(~F.col("p")[c]["null"], F.lit("fp_un")).alias("outcome")) for c in ALL_COLS]
-    more = surplus.select(*by, F.lit("pred").alias("side"), F.lit(None).cast("bigint").alias("gt_ord"), "pred_ord", F.explode(F.array(*extra)).alias("c"))
-    more = more.select(*by, "side", "gt_ord", "pred_ord", F.col("c.column").alias("column"), F.col("c.outcome").alias("outcome")).where(scored)
-    x = cells.unionByName(more)
+    side = F.when(lone, F.lit("pred")).otherwise(F.lit("gt")).alias("side")
+    x = x.select(*by, side, "gt_ord", "pred_ord", F.explode(F.array(*cols)).alias("c"))
+    x = x.select(*by, "side", "gt_ord", "pred_ord", F.col("c.column").alias("column"), F.col("c.outcome").alias("outcome")).where(scored)
     count = lambda *o: F.coalesce(F.col("outcome").isin(*o), F.lit(False)).cast("long")
     return x.select(
         "*",

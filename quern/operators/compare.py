@@ -10,22 +10,27 @@ from ..functions.text import is_null, normalised
 from ..schema import ALL_COLS, DIMENSIONS, PLAIN_TOLERANCE, SCORE_COLS, TOLERANCES, Protocol
 
 
-def prepare_cells(df: DataFrame, into: str = "cells") -> DataFrame:
-    """Add a struct with, per column, what comparisons need: null, norm, plain number, quantity;
-    for catalyst also its composition. Done before pairing, so a cell is parsed once."""
+def prepare_cells(df: DataFrame, protocols: list[Protocol], into: str = "cells") -> DataFrame:
+    """Add a struct with, per column, what comparisons under ``protocols`` need: null, norm, and
+    quantity, plain number or composition. Done before pairing, so a cell is parsed once."""
+    audited, legacy = any(p.unit_norm for p in protocols), any(not p.unit_norm for p in protocols)
+    if audited:
+        df = units.with_quantities(df, {f"q__{c}": (F.col(c), DIMENSIONS.get(c)) for c in TOLERANCES})
     out = []
     for c in ALL_COLS:
         v = F.col(c)
         norm = normalised(v)
-        plain = F.regexp_replace(norm, "%+$", "")
         parts = [is_null(v).alias("null"), norm.alias("norm")]
-        if c in TOLERANCES:
-            number = F.when(plain.rlike(rf"^{units.NUMBER}$"), plain.try_cast("double"))
-            parts += [number.alias("number"), units.parse_quantity(v, DIMENSIONS.get(c)).alias("q")]
-        if c == "catalyst":
+        if c in TOLERANCES and audited:
+            parts.append(F.col(f"q__{c}").alias("q"))
+        if c in TOLERANCES and legacy:
+            plain = F.regexp_replace(norm, "%+$", "")
+            parts.append(F.when(plain.rlike(rf"^{units.NUMBER}$"), plain.try_cast("double")).alias("number"))
+        if c == "catalyst" and any(p.c3_match or p.c3_gate for p in protocols):
             parts += [v.isNull().alias("absent"), composition.parse_catalyst(v).alias("parsed")]
         out.append(F.struct(*parts).alias(c))
-    return df.withColumn(into, F.struct(*out))
+    df = df.withColumn(into, F.struct(*out))
+    return df.drop(*[f"q__{c}" for c in TOLERANCES]) if audited else df
 
 
 def cell_kind(pred: Column, truth: Column, col: str, p: Protocol, composed: bool = False) -> Column:

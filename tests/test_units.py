@@ -42,3 +42,11 @@ def test_structs_and_conversions(spark):
     assert got[5].p == f"{round(300 * 101.325)} kPa"
     assert math.isclose(cells.limit(1).select(units.to_kpa(F.lit("1 atm")).alias("v")).first().v, 101.325)
     assert cells.limit(1).select(units.to_kelvin(F.lit("25 - 30 C")).alias("v")).first().v == 298.15
+
+
+def test_projected_parsing_is_the_same(spark):
+    texts = sorted({x for k in KINDS for x in k[:2] if x is not None}) + [None, "", "x", "- 5", "1..3", "5 kPa\nx"]
+    for dimension in (None, "pressure", "temperature"):
+        df = spark.createDataFrame([(t,) for t in texts], "x string")
+        got = units.with_quantities(df, {"q": (F.col("x"), dimension)}).select("q", units.parse_quantity(F.col("x"), dimension).alias("w")).collect()
+        assert [r.q for r in got] == [r.w for r in got]
