@@ -73,20 +73,21 @@ class Sample:
             cols.extend(ids.setdefault(t, len(ids)) for t in r)
         self.tokens = list(ids)
         self.cols = np.array(cols, dtype=np.int32)
-        self.vals = np.ones(len(cols), dtype=np.float32)
         self.rows = np.repeat(np.arange(len(lens), dtype=np.int32), np.array(lens, dtype=np.int64))
         self.shape = (len(lens), len(ids))
 
     def kept(self, least: int, most: int) -> "Sample":
         """Only tokens of at least ``least`` rows, the ``most`` most frequent (ties by token)."""
         df = np.bincount(self.cols, minlength=self.shape[1])
+        if self.shape[1] <= most and (df >= least).all():
+            return self
         order = sorted(np.flatnonzero(df >= least), key=lambda i: (-df[i], self.tokens[i]))[:most]
         new = np.full(self.shape[1], -1, dtype=np.int32)
         new[order] = np.arange(len(order), dtype=np.int32)
         cols = new[self.cols]
         out = Sample()
         out.tokens = [self.tokens[i] for i in order]
-        out.cols, out.vals, out.rows = cols[cols >= 0], self.vals[cols >= 0], self.rows[cols >= 0]
+        out.cols, out.rows = cols[cols >= 0], self.rows[cols >= 0]
         out.shape = (self.shape[0], len(order))
         return out
 
@@ -94,10 +95,10 @@ class Sample:
         return self.dot(np.array([model.weights.get(t, 0.0) for t in self.tokens]))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, self.vals * w[self.cols], self.shape[0])
+        return np.bincount(self.rows, w.astype(np.float32)[self.cols], self.shape[0])
 
     def t_dot(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, self.vals * g[self.rows], self.shape[1])
+        return np.bincount(self.cols, g.astype(np.float32)[self.rows], self.shape[1])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -133,14 +134,13 @@ def fit(sample: Sample, grades: np.ndarray, vocabulary: int = 50_000, l1: float
     share = np.clip(np.array([(y <= j).mean() for j in range(k)]), 1e-4, 1 - 1e-4)
     th = np.log(share / (1 - share))
     # Columns are scaled by the root of their spread: a compromise between common and rare features.
-    scale = np.power(np.bincount(x.cols, x.vals**2, len(kept)) / len(y) + 1e-6, -0.25)
-    x.vals = x.vals * scale[x.cols].astype(np.float32)
+    scale = np.power(np.bincount(x.cols, minlength=len(kept)) / len(y) + 1e-6, -0.25)
     w, mw, vw = np.zeros(len(kept)), np.zeros(len(kept)), np.zeros(len(kept))
     mt, vt = np.zeros(k), np.zeros(k)
     for step in range(1, steps + 1):
         rate = 0.1 * (1 - 0.9 * step / steps)
-        gs, gt = _loss_slopes(x.dot(w), y, th)
-        gw = x.t_dot(gs)
+        gs, gt = _loss_slopes(x.dot(w * scale), y, th)
+        gw = scale * x.t_dot(gs)
         mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw * gw
         mt, vt = 0.9 * mt + 0.1 * gt, 0.99 * vt + 0.01 * gt * gt
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
@@ -160,7 +160,7 @@ def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"t_label": b["t_label"], "t_words": [b" ".join(sorted(features(t))) for t in b["t_text"]]})
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: Column, sample_rows: int) -> tuple[Sample, np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, label: Column, sample_rows: int, vocabulary: int = 50_000) -> tuple[Sample, np.ndarray]:
     lab = labels.select(F.col("doc_id").alias("l_id"), label.cast("int").alias("t_label")).where("l_id is not null and t_label is not null")
     lab = lab.groupBy("l_id").agg(F.max("t_label").alias("t_label"))
     lab = lab.orderBy(F.xxhash64("l_id"), "l_id").limit(sample_rows)
@@ -169,7 +169,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: Column, sample_rows
     x = x.select("doc_id", "t_label", "t_text").dropDuplicates(["doc_id"]).drop("doc_id")
     got = x.mapInPandas(_feature_rows, "t_label int, t_words binary").toPandas()
     order = sorted(range(len(got)), key=lambda i: bytes(got["t_words"][i]))  # sums don't depend on arrival
-    return Sample(bytes(got["t_words"][i]).split() for i in order), got["t_label"].to_numpy(dtype=np.int64)[order]
+    y = got["t_label"].to_numpy(dtype=np.int64)[order]
+    words = [got["t_words"][i] for i in order]
+    del got
+    # Features of one or two rows go at once; they are most of the distinct ones.
+    return Sample(bytes(w).split() for w in words).kept(3, vocabulary), y
 
 
 def train(docs: DataFrame, labels: DataFrame, label: Column | None = None, sample_rows: int = 8_000, graded: bool = False) -> OrdinalModel:

@@ -25,7 +25,7 @@ def corpus():
         rows.append((i, " ".join(words), "en", f"s{rng.randrange(4)}" if i % 17 else None, len(words)))
         kind[i] = what
 
-    for _ in range(120):
+    for _ in range(240):
         add(prose(rng.randrange(30, 200)), ("clean",))
     for _ in range(40):
         add([*prose(40), *TOXIC, *prose(40)], ("toxic",))
@@ -40,7 +40,7 @@ def corpus():
         t = prose(60)
         t[20:20] = text.split()[3:15]
         add(t, ("leak", i))
-    labels = [(i, 1, int(k[0] == "toxic")) for i, k in kind.items() if k[0] in ("clean", "toxic") and i % 2 == 0]
+    labels = [(i, 1, int(k[0] == "toxic")) for i, k in kind.items() if k[0] in ("clean", "toxic")]
     rows += [(None, None, None, None, None), (500, "", "en", "s1", 0), (501, None, "en", "s1", None)]
     return rows, kind, items, labels
 
