@@ -257,8 +257,8 @@ def _signature_rows(size: int, bands: int, per_band: int):
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            h = shingle_hashes(t, size)
-            low = minima(np.unique(h))
+            h = np.unique(shingle_hashes(t, size))  # similarity is of distinct shingles, so is the fingerprint
+            low = minima(h)
             bits = np.packbits(((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.uint8), bitorder="little").tobytes()
             rows = low[: bands * per_band].reshape(bands, per_band)
             out.append((fingerprint(h), bits, [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]))

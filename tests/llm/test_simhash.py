@@ -110,3 +110,15 @@ def test_near_duplicates_at_0_8(spark):
     odd = spark.createDataFrame([(None, None, 1, 1), (None, None, 1, 1), (2, "", 1, 1), (2, "", 1, 2), (3, "one", 1, 1)], df.schema)
     assert sorted(r.doc_id for r in keep_one(odd).collect()) == [2, 3]
     assert keep_one(df.limit(0)).count() == 0 and near_duplicates(df.limit(0)).count() == 0
+
+
+def test_near_copy_with_a_repeated_line(spark):
+    rng = random.Random(13)
+    v = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(40):
+        base = rng.choices(v, k=200)
+        rows.append((len(rows), " ".join(base)))
+        rows.append((len(rows), " ".join(base[:110] + base[100:110] * 10 + base[110:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in keep_one(df).collect()) == list(range(0, 80, 2))
