@@ -13,7 +13,8 @@ instead: two fingerprints within an even radius r meet at one that is within r/2
 
 ``near_duplicates`` serves filters on word-shingle similarity: blocks are bands of a MinHash
 signature, pivots discard pairs whose fingerprints are too far for the similarity asked for, and
-survivors are verified by the estimate from ``SKETCH`` one-bit minima (standard error 0.027 at 0.8).
+the estimate from ``SKETCH`` one-bit minima (standard error 0.027 at 0.8) accepts or rejects those that
+are ``DOUBT`` or more from it. The others are verified on their sets of shingle hashes.
 
 Defined cases: null or empty texts have no shingles and fingerprint zero and are linked like any
 other; fewer words than a shingle has are one shingle; null ids take part but never name a
@@ -35,6 +36,7 @@ from .common import staged
 from .graph import components
 
 SKETCH = 512  # one-bit minima of a text, eight words of 64
+DOUBT = 0.12  # estimates nearer to the similarity asked for decide nothing
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -115,9 +117,10 @@ def _join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def block_links(
-    keys: np.ndarray, fps: np.ndarray, radius: int, dense: int = 16384, table: np.ndarray | None = None, sketches: np.ndarray | None = None, similarity: float = 0.0
+    keys: np.ndarray, fps: np.ndarray, radius: int, dense: int = 16384, table: np.ndarray | None = None, sketches: np.ndarray | None = None, similarity: float = 0.0, doubtful: list | None = None
 ) -> np.ndarray:
-    """root[i]: the smallest index that i is linked to by near pairs sharing a key. keys: sorted."""
+    """root[i]: the smallest index that i is linked to by near pairs sharing a key. keys: sorted.
+    Pairs (arrays of indices) that the sketches don't decide go to ``doubtful``."""
     root = np.arange(len(keys))
     if len(keys) < 2:
         return root
@@ -138,8 +141,12 @@ def block_links(
             for k in range(0, len(a), 65536):
                 x, y = a[k : k + 65536], b[k : k + 65536]
                 same = SKETCH - np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
-                ok = 2.0 * same / SKETCH - 1.0 >= similarity
+                seen = 2.0 * same / SKETCH - 1.0
+                ok = seen >= similarity + DOUBT
                 _join_roots(root, x[ok], y[ok])
+                if doubtful is not None:
+                    ok = ~ok & (seen > similarity - DOUBT) & (root[x] != root[y])
+                    doubtful.append((x[ok], y[ok]))
         else:
             _join_roots(root, a, b)
 
@@ -205,20 +212,26 @@ def _link_partition(radius: int, similarity: float, sketched: bool, dense: int):
         sk = None
         if sketched:
             sk = np.frombuffer(b"".join(x["sketch"].iloc[order]), dtype="<u8").reshape(len(order), SKETCH // 64)
-        root = block_links(keys, fps, radius, dense, sketches=sk, similarity=similarity)
+        doubtful: list = []
+        root = block_links(keys, fps, radius, dense, sketches=sk, similarity=similarity, doubtful=doubtful)
         tied = root != np.arange(len(root))
-        yield pd.DataFrame({"a": node[tied], "b": node[root[tied]]})
+        sure = {"sure": True} if sketched else {}
+        yield pd.DataFrame({"a": node[tied], "b": node[root[tied]], **sure})
+        for x, y in doubtful:
+            left = root[x] != root[y]
+            a, b = node[x[left]], node[y[left]]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": False})
 
     return run
 
 
 def links(blocked: DataFrame, radius: int, similarity: float = 0.0, partition_rows: int = 250_000, dense: int = 16384) -> DataFrame:
     """Spanning links (a, b: nodes) of near pairs in ``blocked`` (key, node, fp and, if asked for a
-    similarity, sketch); an exchange by key, sized so that a task holds about ``partition_rows``."""
+    similarity, sketch; then also sure, and pairs that are not); an exchange by key, sized so that a task holds about ``partition_rows``."""
     sketched = "sketch" in blocked.columns
     n = max(1, -(-blocked.count() // partition_rows))
     wide = max(n, int(blocked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return blocked.repartition(wide, "key").mapInPandas(_link_partition(radius, similarity, sketched, dense), "a long, b long")
+    return blocked.repartition(wide, "key").mapInPandas(_link_partition(radius, similarity, sketched, dense), "a long, b long" + ", sure boolean" * sketched)
 
 
 def simhash_components(docs: DataFrame, size: int = 4, radius: int = 4, bands: int = 7, **options) -> DataFrame:
@@ -268,6 +281,37 @@ def _signature_rows(size: int, bands: int, per_band: int):
     return F.pandas_udf(of, "struct<fp long, sketch binary, keys array<long>>")
 
 
+def _shingle_sets(size: int):
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in texts], dtype=object)
+
+    of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(of, "binary")
+
+
+def _similar(similarity: float):
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= similarity * (len(x) + len(y) - both))
+        return pd.Series(out, dtype=bool)
+
+    of.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(of, "boolean")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes) whose texts have the similarity in distinct shingles."""
+    asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    t = docs.select(F.xxhash64(F.sha2("text", 256)).alias("node"), "text").join(asked, "node", "left_semi")
+    sets = t.groupBy("node").agg(F.first("text").alias("text")).select("node", _shingle_sets(size)("text").alias("set"))
+    sets = staged(sets, "shingle-sets")
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"{s}_set"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_similar(similarity)("a_set", "b_set")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 22, bands: int = 10, per_band: int = 2) -> DataFrame:
     """Distinct texts with the representative of their group: key (SHA-256 of the text, null for
     null), group (a number that the texts of a group share)."""
@@ -277,7 +321,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, rad
     sig = sig.groupBy("key").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     sig = staged(sig.withColumn("node", F.xxhash64("key")), "signatures")
     x = sig.select("node", "fp", "sketch", F.explode("keys").alias("key"))
-    tied = staged(components(links(x, radius, similarity)), "components")
+    found = staged(links(x, radius, similarity), "links")
+    tied = staged(components(found.where("sure").select("a", "b")), "sure-components")
+    # Doubtful pairs that sure ones don't join already.
+    root = lambda s: tied.select(F.col("node").alias(s), F.col("root").alias(f"{s}_root"))
+    open_ = found.where("not sure").select("a", "b").distinct().join(root("a"), "a", "left").join(root("b"), "b", "left")
+    open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    more = verified(docs, staged(open_, "doubtful"), size, similarity)
+    more = staged(more.unionByName(tied.select(F.col("node").alias("a"), F.col("root").alias("b"))), "verified")
+    tied = staged(components(more), "components")
     return sig.select("key", "node").join(tied, "node", "left").select("key", F.coalesce("root", "node").alias("group"))
 
 

@@ -122,3 +122,18 @@ def test_near_copy_with_a_repeated_line(spark):
         rows.append((len(rows), " ".join(base[:110] + base[100:110] * 10 + base[110:])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in keep_one(df).collect()) == list(range(0, 80, 2))
+
+
+def test_similarity_is_exact_near_0_8(spark):
+    rng = random.Random(14)
+    v = [f"w{i}" for i in range(30_000)]
+    rows, want = [], []
+    for g in range(120):
+        base = rng.sample(v, 300)
+        t, edits = list(base), 6 + g % 2  # (296 - 30) / (296 + 30) = 0.816, (296 - 35) / (296 + 35) = 0.789
+        for i in range(edits):
+            t[20 + 40 * i] = f"x{g}-{i}"
+        want += [len(rows)] + [len(rows) + 1] * (edits == 7)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(t))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in keep_one(df).collect()) == want
