@@ -8,13 +8,15 @@ pair whose coordinates differ by more than ``radius`` anywhere can't be near (tr
 and is discarded, and survivors are verified on the fingerprints themselves.
 
 Only distinct fingerprints are blocked, and a task gives links that span what it found, never all
-pairs of a group. A block of over ``dense`` fingerprints is linked through common neighbours
-instead: two fingerprints within an even radius r meet at one that is within r/2 of both.
+pairs of a group. In a large block a few leaders join what is near them first; after that only pairs
+of different classes are formed. A block of over ``block_rows`` is dealt into parts, each two of which
+meet in a task of their own.
 
 ``near_duplicates`` serves filters on word-shingle similarity: blocks are bands of a MinHash
 signature, pivots discard pairs whose fingerprints are too far for the similarity asked for, and
 the estimate from ``SKETCH`` one-bit minima (standard error 0.027 at 0.8) accepts or rejects those that
-are ``DOUBT`` or more from it. The others are verified on their sets of shingle hashes.
+are ``DOUBT`` or more from it. Rows with other pairs meet once more with their sets of shingle hashes,
+on which such pairs are verified within the task. Texts are told apart by SHA-256.
 
 Defined cases: null or empty texts have no shingles and fingerprint zero and are linked like any
 other; fewer words than a shingle has are one shingle; null ids take part but never name a
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_broadcast, staged
 from .graph import components
 
 SKETCH = 512  # one-bit minima of a text, eight words of 64
@@ -117,38 +119,72 @@ def _join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def block_links(
-    keys: np.ndarray, fps: np.ndarray, radius: int, dense: int = 16384, table: np.ndarray | None = None, sketches: np.ndarray | None = None, similarity: float = 0.0, doubtful: list | None = None
-) -> np.ndarray:
-    """root[i]: the smallest index that i is linked to by near pairs sharing a key. keys: sorted.
-    Pairs (arrays of indices) that the sketches don't decide go to ``doubtful``."""
-    root = np.arange(len(keys))
+    keys: np.ndarray,
+    fps: np.ndarray,
+    radius: int,
+    sketches: np.ndarray | None = None,
+    similarity: float = 0.0,
+    root: np.ndarray | None = None,
+    sets: list | None = None,
+    tally: dict | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """root[i]: the smallest index that i is linked to by near pairs sharing a key (sorted ``keys``),
+    and which rows have pairs that the sketches leave open.
+
+    ``root`` are classes known before. With ``sets`` (sorted shingle hashes) open pairs are verified
+    instead. Pairs of one class are passed over, so a large group of near copies costs a pass for each
+    of a few leaders. ``tally`` counts pairs formed, left by the pivots, and near."""
+    root = np.arange(len(keys)) if root is None else root
+    unsure = np.zeros(len(keys), dtype=bool)
     if len(keys) < 2:
-        return root
-    table = pivots() if table is None else table
+        return root, unsure
     firsts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
     sizes = np.diff(np.append(firsts, len(keys)))
-    away = np.stack([np.bitwise_count(fps ^ p) for p in table], axis=1).astype(np.int8)
+    away = np.stack([np.bitwise_count(fps ^ p) for p in pivots()], axis=1).astype(np.int8)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle(most: int) -> None:
+        """Forget the open pairs that were joined; with over ``most`` left, mark their ends at once."""
+        x, y = (np.concatenate(c) for c in zip(*waiting, strict=True)) if waiting else (np.zeros(0, dtype=np.int64),) * 2
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        waiting.clear()
+        if len(x) > most:
+            unsure[x] = unsure[y] = True
+        else:
+            waiting.append((x, y))
 
     def near(a: np.ndarray, b: np.ndarray) -> None:
+        apart = root[a] != root[b]  # what is joined already needs no check
+        a, b = a[apart], b[apart]
+        formed = len(a)
         for k in range(0, away.shape[1], 8):  # coordinates in groups; most pairs go at once
             ok = np.abs(away[a, k : k + 8] - away[b, k : k + 8]).max(axis=1, initial=0) <= radius
             a, b = a[ok], b[ok]
+        left = len(a)
         ok = np.bitwise_count(fps[a] ^ fps[b]) <= radius
         a, b = a[ok], b[ok]
-        if sketches is not None and len(a):
-            open_ = root[a] != root[b]  # what is joined already needs no check
-            a, b = a[open_], b[open_]
-            for k in range(0, len(a), 65536):
-                x, y = a[k : k + 65536], b[k : k + 65536]
-                same = SKETCH - np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
-                seen = 2.0 * same / SKETCH - 1.0
-                ok = seen >= similarity + DOUBT
-                _join_roots(root, x[ok], y[ok])
-                if doubtful is not None:
-                    ok = ~ok & (seen > similarity - DOUBT) & (root[x] != root[y])
-                    doubtful.append((x[ok], y[ok]))
-        else:
+        if tally is not None:
+            for name, n in (("formed", formed), ("left", left), ("near", len(a))):
+                tally[name] = tally.get(name, 0) + n
+        if sketches is None:
             _join_roots(root, a, b)
+            return
+        for k in range(0, len(a), 65536):
+            x, y = a[k : k + 65536], b[k : k + 65536]
+            same = SKETCH - np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
+            seen = 2.0 * same / SKETCH - 1.0
+            ok = seen >= similarity + DOUBT
+            _join_roots(root, x[ok], y[ok])
+            ok = ~ok & (seen > similarity - DOUBT) & (root[x] != root[y])
+            x, y, seen = x[ok], y[ok], seen[ok]
+            if sets is not None:
+                order = np.argsort(-seen, kind="stable")
+                _verify(root, sets, x[order], y[order], similarity)
+            elif len(x):
+                waiting.append((x, y))
+        if sum(len(w[0]) for w in waiting) > 1_000_000:
+            settle(500_000)
 
     chunk, held, few = [], 0, (sizes > 1) & (sizes <= 512)
     for f, s in zip(firsts[few], sizes[few], strict=True):
@@ -160,78 +196,117 @@ def block_links(
     if chunk:
         near(*_pairs(np.array([c[1] for c in chunk]), np.array([c[0] for c in chunk])))
     for f, s in zip(firsts[sizes > 512], sizes[sizes > 512], strict=True):
-        if s > dense and sketches is None and radius % 2 == 0:
-            _through_neighbours(root, fps, int(f), int(s), radius)
-            continue
-        rows = max(1, 500_000 // s)
-        for r in range(f, f + s, rows):
-            mine = np.arange(r, min(r + rows, f + s))
-            rest = np.arange(r, f + s)
-            a, b = np.repeat(mine, len(rest)), np.tile(rest, len(mine))
+        own, tried = np.arange(f, f + s), set()
+        for _ in range(16):  # leaders: a row of the largest class that had none
+            values, first, n = np.unique(root[own], return_index=True, return_counts=True)
+            new = [k for k in np.argsort(-n, kind="stable")[:17] if int(values[k]) not in tried]
+            if not new:
+                break
+            tried.add(int(values[new[0]]))
+            near(np.full(s, own[first[new[0]]]), own)
+        # Then each class with all larger ones; pairs within a class are never formed.
+        _, of, n = np.unique(root[own], return_inverse=True, return_counts=True)
+        own = own[np.lexsort((of, n[of]))]
+        rows = max(1, 500_000 // int(s))
+        for r in range(0, int(s), rows):
+            mine, rest = own[r : r + rows], own[r:]
+            if (root[rest] == root[rest[0]]).all():
+                break
+            a, b = np.repeat(np.arange(len(mine)), len(rest)), np.tile(np.arange(len(rest)), len(mine))
             later = b > a
-            near(a[later], b[later])
-    return root
-
-
-def _through_neighbours(root: np.ndarray, fps: np.ndarray, first: int, size: int, radius: int, slices: int = 16) -> None:
-    """Exact links of a dense block in passes over slices of the points within radius / 2."""
-    own = fps[first : first + size]
-    free = [b for b in range(64) if len(np.unique((own >> np.uint64(b)) & np.uint64(1))) > 1]
-    flips = [0] + [sum(1 << b for b in c) for k in range(1, radius // 2 + 1) for c in itertools.combinations(free, k)]
-    for s in range(slices):
-        points, of = [], []
-        for m in flips:
-            z = own ^ np.uint64(m)
-            here = np.flatnonzero((z * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60) == s % 16)
-            points.append(z[here])
-            of.append(here + first)
-        p, o = np.concatenate(points), np.concatenate(of)
-        order = np.argsort(p, kind="stable")
-        p, o = p[order], o[order]
-        same = p[1:] == p[:-1]
-        _join_roots(root, o[:-1][same], o[1:][same])
-
-
-def _link_partition(radius: int, similarity: float, sketched: bool, dense: int):
+            near(mine[a[later]], rest[b[later]])
+    settle(0)
+    return root, unsure
+
+
+def _verify(root: np.ndarray, sets: list, x: np.ndarray, y: np.ndarray, similarity: float) -> None:
+    """Join those of the pairs x, y whose shingle sets have the similarity; the likeliest come first."""
+    for k in range(0, len(x), 256):
+        a, b = x[k : k + 256], y[k : k + 256]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        ok = np.array([_alike(sets[i], sets[j], similarity) for i, j in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
+        _join_roots(root, a[ok], b[ok])
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted arrays of distinct hashes have the Jaccard similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < similarity * len(y) or not len(y):
+        return len(x) == len(y)
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], column: str, rows: int = 65_536) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups of about ``rows`` rows, from batches sorted by ``column``."""
+    held, n = [], 0
+    for b in batches:
+        if not len(b):
+            continue
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            x = pd.concat(held, ignore_index=True)
+            before = np.flatnonzero(x[column].to_numpy() != x[column].iloc[-1])
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if cut:
+                yield x[:cut].reset_index(drop=True)
+            held, n = [x[cut:]], len(x) - cut
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _link_rows(radius: int, similarity: float):
+    """Links (a, b) that span what the groups' near pairs join; then (a: node, b: group, open) of rows with open pairs."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        x = pd.concat(got, ignore_index=True)
-        keys = x["key"].to_numpy(dtype=np.int64)
-        order = np.lexsort((x["node"].to_numpy(dtype=np.int64), keys))
-        keys = keys[order]
-        twin = np.zeros(len(keys), dtype=bool)
-        twin[1:] = keys[1:] == keys[:-1]
-        twin[:-1] |= twin[1:]
-        order, keys = order[twin], keys[twin]  # only keys of two or more
-        if not len(order):
-            return
-        node = x["node"].to_numpy(dtype=np.int64)[order]
-        fps = x["fp"].to_numpy(dtype=np.int64)[order].view(np.uint64)
-        sk = None
-        if sketched:
-            sk = np.frombuffer(b"".join(x["sketch"].iloc[order]), dtype="<u8").reshape(len(order), SKETCH // 64)
-        doubtful: list = []
-        root = block_links(keys, fps, radius, dense, sketches=sk, similarity=similarity, doubtful=doubtful)
-        tied = root != np.arange(len(root))
-        sure = {"sure": True} if sketched else {}
-        yield pd.DataFrame({"a": node[tied], "b": node[root[tied]], **sure})
-        for x, y in doubtful:
-            left = root[x] != root[y]
-            a, b = node[x[left]], node[y[left]]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": False})
+        for x in whole_groups(batches, "key"):
+            keys, node = x["key"].to_numpy(dtype=np.int64), x["node"].to_numpy(dtype=np.int64)
+            sketches = sets = root = None
+            if "sketch" in x.columns:
+                sketches = np.frombuffer(b"".join(x["sketch"]), dtype="<u8").reshape(len(x), SKETCH // 64)
+            if "shingles" in x.columns:
+                sets = [np.frombuffer(s, dtype="<u8") for s in x["shingles"]]
+                of = x.groupby(["key", "root"], sort=False).ngroup().to_numpy()
+                root = np.unique(of, return_index=True)[1][of]
+            known = root.copy() if root is not None else np.arange(len(x))
+            root, unsure = block_links(keys, x["fp"].to_numpy(dtype=np.int64).view(np.uint64), radius, sketches, similarity, root, sets)
+            tied = root != known
+            yield pd.DataFrame({"a": node[tied], "b": node[root[tied]], "open": False})
+            yield pd.DataFrame({"a": node[unsure], "b": keys[unsure], "open": True})
 
     return run
 
 
-def links(blocked: DataFrame, radius: int, similarity: float = 0.0, partition_rows: int = 250_000, dense: int = 16384) -> DataFrame:
+def split_blocks(x: DataFrame, bound: int, weight: str | None = None) -> DataFrame:
+    """``x`` (key, node, ...) with keys of at most about twice ``bound`` rows (or sum of ``weight``).
+
+    A heavier key is dealt into parts by node, and each two parts get a key of their own, so that any
+    two of its rows still meet, in tasks of bounded size."""
+    size = F.sum(weight) if weight else F.count("*")
+    heavy = staged(x.groupBy("key").agg(size.alias("n")).where(F.col("n") > bound), "heavy")
+    if not heavy.limit(1).count():
+        return x
+    parts = F.ceil(F.col("n") / bound).cast("int")
+    y = x.join(bounded_broadcast(heavy, 100_000), "key", "left")
+    own = F.pmod(F.xxhash64("node", "key"), parts).cast("int")
+    others = F.filter(F.sequence(F.lit(0), parts - 1), lambda j: j != own)
+    both = F.transform(others, lambda j: F.xxhash64("key", F.least(j, own), F.greatest(j, own)))
+    rest = [c for c in x.columns if c != "key"]
+    return y.select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(both)).alias("key"), *rest)
+
+
+def links(blocked: DataFrame, radius: int, similarity: float = 0.0, block_rows: int = 16_384, partition_rows: int = 250_000) -> DataFrame:
     """Spanning links (a, b: nodes) of near pairs in ``blocked`` (key, node, fp and, if asked for a
-    similarity, sketch; then also sure, and pairs that are not); an exchange by key, sized so that a task holds about ``partition_rows``."""
-    sketched = "sketch" in blocked.columns
+    similarity, sketch), and rows with pairs left open (a: node, b: key, open); an exchange by key,
+    sized so that a task holds about ``partition_rows``, in groups of ``block_rows``."""
+    x = split_blocks(blocked, block_rows)
     n = max(1, -(-blocked.count() // partition_rows))
     wide = max(n, int(blocked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return blocked.repartition(wide, "key").mapInPandas(_link_partition(radius, similarity, sketched, dense), "a long, b long" + ", sure boolean" * sketched)
+    return x.repartition(wide, "key").sortWithinPartitions("key").mapInPandas(_link_rows(radius, similarity), "a long, b long, open boolean")
 
 
 def simhash_components(docs: DataFrame, size: int = 4, radius: int = 4, bands: int = 7, **options) -> DataFrame:
@@ -241,7 +316,7 @@ def simhash_components(docs: DataFrame, size: int = 4, radius: int = 4, bands: i
     masks = F.array(*[F.lit(m).cast("long") for m in band_masks(bands, radius)])
     x = own.select("fp", F.posexplode(masks).alias("t", "mask"))
     x = x.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), F.col("fp").alias("node"), "fp")
-    tied = staged(components(links(x, radius, **options)), "components")
+    tied = staged(components(links(x, radius, **options).select("a", "b")), "components")
     own = own.join(tied, own["fp"] == tied["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     own = staged(own, "classes")
     low = own.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -254,80 +329,85 @@ def simhash_report(docs: DataFrame) -> DataFrame:
     return x.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _signature_rows(size: int, bands: int, per_band: int):
+def _multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(17))
-    mul = rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
+    mul = rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return mul, rng.integers(0, 1 << 63, count, dtype=np.uint64)
 
-    def minima(h: np.ndarray) -> np.ndarray:
-        low = np.full(SKETCH, _ONES)
-        for k in range(0, len(h), 256):
-            part = h[k : k + 256, None] * mul[None, :] + add[None, :]
-            part ^= part >> np.uint64(29)
-            np.minimum(low, part.min(axis=0), out=low)
-        return low
+
+def _minima(h: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
+    low = np.full(len(mul), _ONES)
+    for k in range(0, len(h), 256):
+        part = h[k : k + 256, None] * mul[None, :] + add[None, :]
+        part ^= part >> np.uint64(29)
+        np.minimum(low, part.min(axis=0), out=low)
+    return low
+
+
+def _signature_rows(size: int, bands: int, per_band: int):
+    mul, add = _multipliers(bands * per_band)
 
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             h = np.unique(shingle_hashes(t, size))  # similarity is of distinct shingles, so is the fingerprint
-            low = minima(h)
-            bits = np.packbits(((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.uint8), bitorder="little").tobytes()
-            rows = low[: bands * per_band].reshape(bands, per_band)
-            out.append((fingerprint(h), bits, [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]))
-        return pd.DataFrame(out, columns=["fp", "sketch", "keys"])
+            rows = _minima(h, mul, add).reshape(bands, per_band)
+            out.append((fingerprint(h), [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]))
+        return pd.DataFrame(out, columns=["fp", "keys"])
 
     of.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(of, "struct<fp long, sketch binary, keys array<long>>")
+    return F.pandas_udf(of, "struct<fp long, keys array<long>>")
 
 
-def _shingle_sets(size: int):
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in texts], dtype=object)
-
-    of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(of, "binary")
+def _sketch_rows(size: int):
+    mul, add = _multipliers(SKETCH)
 
-
-def _similar(similarity: float):
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+    def of(texts: pd.Series) -> pd.DataFrame:
         out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both >= similarity * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
-
-    of.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(of, "boolean")
-
+        for t in texts:
+            h = np.unique(shingle_hashes(t, size))
+            bits = (_minima(h, mul, add) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)
+            out.append((np.packbits(bits.astype(np.uint8), bitorder="little").tobytes(), h.astype("<u8").tobytes()))
+        return pd.DataFrame(out, columns=["sketch", "shingles"])
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) whose texts have the similarity in distinct shingles."""
-    asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    t = docs.select(F.xxhash64(F.sha2("text", 256)).alias("node"), "text").join(asked, "node", "left_semi")
-    sets = t.groupBy("node").agg(F.first("text").alias("text")).select("node", _shingle_sets(size)("text").alias("set"))
-    sets = staged(sets, "shingle-sets")
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"{s}_set"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_similar(similarity)("a_set", "b_set")).select("a", "b")
+    of.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(of, "struct<sketch binary, shingles binary>")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 22, bands: int = 10, per_band: int = 2) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 22, bands: int = 10, per_band: int = 2, group_bytes: int = 64 << 20
+) -> DataFrame:
     """Distinct texts with the representative of their group: key (SHA-256 of the text, null for
     null), group (a number that the texts of a group share)."""
     texts = docs.select(F.sha2("text", 256).alias("key"), F.col("text"))
     # Copies of a text get one signature row; the digest decides, so no text is shuffled.
     sig = texts.select("key", _signature_rows(size, bands, per_band)(F.col("text")).alias("s")).select("key", "s.*")
-    sig = sig.groupBy("key").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    sig = staged(sig.withColumn("node", F.xxhash64("key")), "signatures")
-    x = sig.select("node", "fp", "sketch", F.explode("keys").alias("key"))
-    found = staged(links(x, radius, similarity), "links")
-    tied = staged(components(found.where("sure").select("a", "b")), "sure-components")
-    # Doubtful pairs that sure ones don't join already.
-    root = lambda s: tied.select(F.col("node").alias(s), F.col("root").alias(f"{s}_root"))
-    open_ = found.where("not sure").select("a", "b").distinct().join(root("a"), "a", "left").join(root("b"), "b", "left")
-    open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    more = verified(docs, staged(open_, "doubtful"), size, similarity)
+    sig = sig.groupBy("key").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    sig = staged(sig.withColumn("node", F.monotonically_increasing_id()), "signatures")  # numbers hold once written
+    x = sig.select("node", F.explode("keys").alias("key"))
+    shared = x.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    x = staged(x.join(shared, "key", "left_semi"), "blocks")
+    # Only texts that share a band need a sketch and their set of shingles; one row for all copies.
+    few = sig.join(x.select("node").distinct(), "node", "left_semi").select("node", "fp", F.coalesce("key", F.lit("")).alias("c_key"))
+    few = staged(few, "candidates")
+    some = texts.withColumn("key", F.coalesce("key", F.lit(""))).join(bounded_broadcast(few.select(F.col("c_key").alias("key")), 200_000), "key", "left_semi")
+    some = some.select("key", _sketch_rows(size)(F.col("text")).alias("s")).select("key", "s.*")
+    some = some.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"))
+    few = staged(few.join(some, F.col("c_key") == F.col("key")).select("node", "fp", "sketch", "shingles"), "sketches")
+
+    blocked = x.join(few.select("node", "fp", "sketch"), "node")
+    found = staged(links(blocked, radius, similarity), "links")
+    sure = found.where("not open").select("a", "b")
+    tied = staged(components(sure), "sure-components")
+    # Open pairs: their rows meet again by group, with the sets, where classes still differ.
+    left = found.where("open").select(F.col("a").alias("node"), F.col("b").alias("key"))
+    left = left.join(tied, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left = left.join(apart, "key", "left_semi").join(few.select("node", F.octet_length("shingles").alias("bytes")), "node")
+    left = split_blocks(staged(left, "open"), group_bytes, "bytes").drop("bytes")
+    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.join(few, "node").repartition(wide, "key").sortWithinPartitions("key")
+    more = left.mapInPandas(_link_rows(radius, similarity), "a long, b long, open boolean").where("not open").select("a", "b")
     more = staged(more.unionByName(tied.select(F.col("node").alias("a"), F.col("root").alias("b"))), "verified")
     tied = staged(components(more), "components")
     return sig.select("key", "node").join(tied, "node", "left").select("key", F.coalesce("root", "node").alias("group"))
