@@ -12,11 +12,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; one of our own only where it is unset and
+    the driver is the only executor."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("quern.work.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("quern.work.dir", path)
     return path.rstrip("/")
@@ -65,5 +69,20 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def skew_join(x: DataFrame, y: DataFrame, on: list[str], how: str = "inner", parts: int = 64, shares: int = 100_000) -> DataFrame:
+    """``x`` joined with ``y`` on the columns ``on`` of both. Keys with over 10,000 rows and over 1 / ``shares`` of
+    ``x`` (so ``shares`` keys at most, which are broadcast) are dealt to ``parts`` tasks by the rest of the row, and
+    their rows of ``y``, of which there should be few, go to each."""
+    n = x.count()
+    hot = staged(x.groupBy(*on).count().where(F.col("count") > max(10_000, n // shares)).select(*on, F.lit(True).alias("j_hot")), "hot")
+    if not hot.limit(1).count():
+        return x.join(y, on, how)
+    hot = F.broadcast(hot)
+    x = x.join(hot, on, "left").withColumn("j_salt", F.when(F.col("j_hot"), F.pmod(F.xxhash64(*x.columns), F.lit(parts)).cast("int")).otherwise(0)).drop("j_hot")
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    y = y.join(hot, on, "left").withColumn("j_salt", F.explode(F.when(F.col("j_hot"), every).otherwise(F.array(F.lit(0))))).drop("j_hot")
+    return x.join(y, [*on, "j_salt"], how).drop("j_salt")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -59,13 +59,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 def window_minima(hashes: np.ndarray, width: int, bits: int = 28) -> np.ndarray:
     """For each run of ``width`` neighbours the index of the smallest hash, the leftmost of equals.
 
-    The low ``bits`` give way to the index, so equal runs choose alike wherever they stand.
+    The low ``bits`` give way to the index, so equal runs choose alike wherever they stand; more
+    hashes than that are taken in stretches that overlap by a run.
     """
+    n, most = len(hashes), max(1 << bits, 2 * width)
+    if n <= most:
+        return _minima(hashes, width, max(bits, most.bit_length() - 1))
+    step = most - width + 1
+    return np.concatenate([_minima(hashes[k : k + most], width, max(bits, most.bit_length() - 1)) + k for k in range(0, n - width + 1, step)])
+
+
+def _minima(hashes: np.ndarray, width: int, bits: int) -> np.ndarray:
     n = len(hashes)
     if n < width:
         return np.zeros(0, dtype=np.int64)
-    if n >> bits:
-        raise ValueError(f"a text of {n} positions is longer than 2**{bits}")
     mask = np.uint64((1 << bits) - 1)
     key = (hashes & ~mask) | np.arange(n, dtype=np.uint64)
     fill = -n % width

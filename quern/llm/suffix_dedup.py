@@ -15,13 +15,16 @@ A byte is removed if some string of ``length`` bytes that covers it also starts
   ``length - d`` bytes to the right and d bytes to the left: two runs of common prefixes in the
   two sorted orders, for each d.
 
-Equal contexts are collapsed first (they repeat in all their windows), equal texts likewise. A
-gram with more than ``group_contexts`` different contexts is not sorted in one task: its windows
-are hashed in full, one row each, and grouped, which is exact too (64 + 64 bits).
+Equal contexts, told by their BLAKE2b digests, are collapsed first (they repeat in all their windows),
+equal texts likewise. A group of more than ``group_contexts`` different contexts is not sorted in one
+task but split by content: a window about a core of n bytes holds, of the ``length - n`` others, half
+to the core's left or half to its right, so each context goes on with one or both of two longer cores,
+and equal windows stay together. A core grows to a whole window in about log2(length) rounds at most;
+such windows are compared as they are.
 
 Defined cases: a null text is empty; texts shorter than ``length`` have no windows and lose
 nothing; matches never cross documents; strings are judged on the input; repeated rows repeat each
-other's strings; an empty table gives no rows. Texts up to 2**28 bytes.
+other's strings; an empty table gives no rows; a text's length is bounded by memory only.
 """
 
 from __future__ import annotations
@@ -31,14 +34,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import staged
+from .common import bounded_broadcast, skew_join, staged
 
 ANCHOR_SCHEMA = "gram long, tid binary, pos long, first long, last long"
-CONTEXT_SCHEMA = "gram long, ctx_key long, tid binary, pos long, d_low long, d_high long, ctx binary"
+CONTEXT_SCHEMA = "gram long, ctx_key binary, tid binary, pos long, d_low long, d_high long, ctx binary"
+HIT_SCHEMA = "gram long, ctx_key binary, d_from long, d_to long"
 
 
 def _bytes(text) -> np.ndarray:
@@ -94,20 +98,18 @@ def _context_rows(length: int):
                     continue
                 before = tid
                 raw = text.encode("utf-8", "replace")
-                prefix = H.prefixes(H.VALUE[np.frombuffer(raw, dtype=np.uint8)])
                 pos = np.array([x["pos"] for x in found], dtype=np.int64)
                 d_high = pos - np.array([x["first"] for x in found], dtype=np.int64)
                 d_low = pos - np.array([x["last"] for x in found], dtype=np.int64)
                 low, high = pos - d_high, pos - d_low + length
-                key = H.mix(H.spans(prefix, low, high) ^ (d_high.astype(np.uint64) << np.uint64(20)) ^ d_low.astype(np.uint64)).view(np.int64)
                 for i, x in enumerate(found):
-                    k = int(key[i])
+                    ctx = raw[low[i] : high[i]]
+                    k = hashlib.blake2b(ctx, digest_size=16, salt=b"%d" % d_high[i]).digest()  # its length tells d_low
                     new = k not in seen
                     if new and len(seen) < 500_000:
                         seen.add(k)
-                    ctx = raw[low[i] : high[i]] if new else None
-                    rows.append((x["gram"], k, tid, int(pos[i]), int(d_low[i]), int(d_high[i]), ctx))
-                    held += len(ctx) if ctx else 0
+                    rows.append((x["gram"], k, tid, int(pos[i]), int(d_low[i]), int(d_high[i]), ctx if new else None))
+                    held += len(ctx) if new else 0
                 if held > 8 << 20:
                     yield pd.DataFrame(rows, columns=["gram", "ctx_key", "tid", "pos", "d_low", "d_high", "ctx"])
                     rows, held = [], 0
@@ -230,25 +232,27 @@ def _runs(hit: np.ndarray, low: int) -> list[tuple[int, int]]:
 
 
 def _sort_rows(length: int, batch: int):
-    """Contexts ordered by gram arrive; whole grams are sorted together, several at a time."""
+    """Contexts ordered by group (key) arrive; whole groups are sorted together, several at a time."""
 
     def flush(rows: list) -> pd.DataFrame:
+        # Groups in which only one context is left have no other to repeat in, so hits never span groups:
+        # contexts of different groups differ within the core that all their windows hold.
         found = repeated_windows([r[1] for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), length)
         out = [(r[4], r[0], a, b) for r, runs in zip(rows, found, strict=True) for a, b in runs]
         return pd.DataFrame(out, columns=["gram", "ctx_key", "d_from", "d_to"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, group, keys = [], [], set()
-        gram = None
+        before = None
         for b in batches:
-            for g, k, ctx, lo, hi in zip(b["gram"], b["ctx_key"], b["ctx"], b["d_low"], b["d_high"], strict=True):
-                if g != gram:
+            for key, g, k, ctx, lo, hi in zip(b["key"], b["gram"], b["ctx_key"], b["ctx"], b["d_low"], b["d_high"], strict=True):
+                if key != before:
                     if len(group) > 1:  # an only context has no other to repeat in
                         rows += group
                         if len(rows) >= batch:
                             yield flush(rows)
                             rows = []
-                    gram, group, keys = g, [], set()
+                    before, group, keys = key, [], set()
                 if k not in keys:
                     keys.add(k)
                     group.append((k, ctx, lo, hi, g))
@@ -260,17 +264,23 @@ def _sort_rows(length: int, batch: int):
     return run
 
 
-def _window_rows(length: int):
-    """For grams with very many contexts: a row per window, with two hashes of all its bytes."""
+def _part(c: Column, start: Column, size: Column) -> Column:
+    """``size`` bytes of a binary column from the 0-based ``start``."""
+    return F.substring(c, (start + 1).cast("int"), size.cast("int"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for g, k, ctx, lo, hi in zip(b["gram"], b["ctx_key"], b["ctx"], b["d_low"], b["d_high"], strict=True):
-                d = np.arange(hi, lo - 1, -1)
-                w = [hashlib.blake2b(ctx[hi - x : hi - x + length], digest_size=16).digest() for x in d]
-                yield pd.DataFrame({"gram": np.full(len(d), g), "ctx_key": np.full(len(d), k), "d": d, "w": w})
 
-    return run
+def _split(x: DataFrame, length: int) -> DataFrame:
+    """Contexts (key, gram, ctx_key, ctx, d_low, d_high, c_left, c_right) with their cores grown: the core is
+    ``c_left`` bytes before the anchor and ``c_right`` from it on, and every window of d_low .. d_high holds it."""
+    half = F.expr(f"({length} - c_left - c_right + 1) div 2").cast("long")
+    far = F.col("c_left") + half  # windows that start so far to the left, and the others
+    cases = F.array(
+        F.struct(F.greatest("d_low", far).alias("d_low"), F.col("d_high").alias("d_high"), far.alias("c_left"), F.col("c_right").alias("c_right")),
+        F.struct(F.col("d_low").alias("d_low"), F.least("d_high", far - 1).alias("d_high"), F.col("c_left").alias("c_left"), (length - far + 1).alias("c_right")),
+    )
+    y = x.select("gram", "ctx_key", "ctx", F.col("d_high").alias("was"), F.explode(cases).alias("c")).where("c.d_low <= c.d_high")
+    y = y.select("gram", "ctx_key", _part(F.col("ctx"), F.col("was") - F.col("c.d_high"), F.col("c.d_high") - F.col("c.d_low") + length).alias("ctx"), "c.*")
+    return y.withColumn("key", F.xxhash64("gram", "c_left", "c_right", _part(F.col("ctx"), F.col("d_high") - F.col("c_left"), F.col("c_left") + F.col("c_right"))))
 
 
 def _cut_rows():
@@ -307,7 +317,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, group_contexts: int = 20_000, batch: int = 6_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, group_contexts: int = 8_000, batch: int = 6_000) -> DataFrame:
     """``docs``: tid (digest of the text), text. (tid, spans: array of from, to) of the texts with
     bytes under a string that starts elsewhere in the texts, each text taken once."""
     spark = docs.sparkSession
@@ -315,8 +325,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, group_co
     a = staged(long_.mapInPandas(_anchor_rows(length, gram), ANCHOR_SCHEMA), "anchors")
     # The same (text, position) may come from several copies; another one gives another number.
     place = F.xxhash64("tid", "pos")
-    twice = a.groupBy("gram").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select(F.col("gram").alias("t_gram"))
-    left = a.join(twice, F.col("gram") == F.col("t_gram"), "left_semi")
+    twice = a.groupBy("gram").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("gram")
+    left = skew_join(a, twice, ["gram"], "left_semi")
     found = left.groupBy("tid").agg(F.collect_set(F.struct("gram", "pos", "first", "last")).alias("found"))
     x = long_.join(found.withColumnRenamed("tid", "f_tid"), F.col("tid") == F.col("f_tid")).select("tid", "text", "found")
     c = staged(x.mapInPandas(_context_rows(length), CONTEXT_SCHEMA), "contexts")
@@ -326,22 +336,27 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, group_co
     same = thin.groupBy("gram", "ctx_key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("d_low").alias("d_from"), F.first("d_high").alias("d_to"))
     same = same.where("lo < hi").select("gram", "ctx_key", "d_from", "d_to")
 
-    bytes_ = c.where("ctx is not null").select("gram", "ctx_key", "ctx", "d_low", "d_high")
-    many = bytes_.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > group_contexts).select(F.col("gram").alias("m_gram"))
-    many = staged(many, "many")
-    any_many = many.limit(1).count() > 0
-    few = bytes_.join(many, F.col("gram") == F.col("m_gram"), "left_anti") if any_many else bytes_
+    todo = c.where("ctx is not null").select(F.col("gram").alias("key"), "gram", "ctx_key", "ctx", "d_low", "d_high", F.lit(0).cast("long").alias("c_left"), F.lit(gram).cast("long").alias("c_right"))
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), c.count() // 20_000)
-    hits = few.repartition(wide, "gram").sortWithinPartitions("gram")
-    hits = hits.mapInPandas(_sort_rows(length, batch), "gram long, ctx_key long, d_from long, d_to long").unionByName(same)
-    if any_many:
-        rows = bytes_.join(many, F.col("gram") == F.col("m_gram"), "left_semi").dropDuplicates(["gram", "ctx_key"])
-        w = staged(rows.mapInPandas(_window_rows(length), "gram long, ctx_key long, d long, w binary"), "windows")
-        both = w.groupBy("w").agg(F.min("ctx_key").alias("lo"), F.max("ctx_key").alias("hi")).where("lo < hi").select(F.col("w").alias("b_w"))
-        hot = w.join(both, F.col("w") == F.col("b_w"), "left_semi")
-        hits = hits.unionByName(hot.select("gram", "ctx_key", F.col("d").alias("d_from"), F.col("d").alias("d_to")))
-    hits = staged(hits, "hits").select(F.col("gram").alias("h_gram"), F.col("ctx_key").alias("h_key"), "d_from", "d_to")
-    spans = thin.join(hits, (F.col("gram") == F.col("h_gram")) & (F.col("ctx_key") == F.col("h_key")))
+    hits = []
+    while True:
+        many = staged(todo.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group_contexts).select("key"), "many")
+        some = many.limit(1).count() > 0
+        few = todo.join(bounded_broadcast(many, 100_000), "key", "left_anti") if some else todo
+        few = few.select("key", "gram", "ctx_key", "ctx", "d_low", "d_high").repartition(wide, "key").sortWithinPartitions("key")
+        hits.append(staged(few.mapInPandas(_sort_rows(length, batch), HIT_SCHEMA), "hits"))
+        if not some:
+            break
+        hot = todo.join(bounded_broadcast(many, 100_000), "key", "left_semi").dropDuplicates(["key", "ctx_key"])
+        hot = staged(_split(hot, length), "split")
+        todo, done = hot.where(F.col("c_left") + F.col("c_right") < length), hot.where(F.col("c_left") + F.col("c_right") >= length)
+        # Cores that are whole windows: the bytes themselves are grouped.
+        both = done.groupBy("ctx").agg(F.min("ctx_key").alias("lo"), F.max("ctx_key").alias("hi")).where("lo < hi").select("ctx")
+        hits.append(staged(skew_join(done.select("ctx", "gram", "ctx_key", "d_low", "d_high"), both, ["ctx"], "left_semi").select("gram", "ctx_key", F.col("d_low").alias("d_from"), F.col("d_high").alias("d_to")), "hits"))
+    for h in hits:
+        same = same.unionByName(h)
+    same = staged(same, "hits")
+    spans = skew_join(thin, same, ["gram", "ctx_key"])
     span = F.struct((F.col("pos") - F.col("d_to")).alias("from"), (F.col("pos") - F.col("d_from") + length).alias("to"))
     return spans.groupBy("tid").agg(F.collect_set(span).alias("spans"))
 

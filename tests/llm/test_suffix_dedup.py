@@ -48,7 +48,7 @@ def texts():
     return out + [out[0], out[0], None, "", "ab", "a" * 900, "ab" * 300, ("line of text, " * 9 + "\n") * 12, prose(20_000), "x" * 59, "x" * 60, "x" * 60]
 
 
-@pytest.mark.parametrize("options", [{}, {"group_contexts": 3, "batch": 20}])
+@pytest.mark.parametrize("options", [{}, {"group_contexts": 3, "batch": 20}, {"group_contexts": 1, "batch": 1}])
 def test_against_brute_force(spark, options):
     ts = texts()
     df = spark.createDataFrame([(i % 40 if i % 9 else None, t, 1, b"") for i, t in enumerate(ts)], "doc_id long, text string, gram int, kept binary")
@@ -96,3 +96,23 @@ def test_suffix_sort_and_collisions(monkeypatch):
             n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
             assert lcp[k] == n
     assert repeated_windows([], np.zeros(0, dtype=int), np.zeros(0, dtype=int), 5) == []
+
+
+def test_very_common_line_and_passages(spark):
+    """Rows that share one line, a long passage and a passage under ``length``: groups are split by content."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    line, long_, short = prose(30)[:150], prose(110)[:520], prose(70)[:390]
+    ts = [f"{prose(rng.randrange(8, 60))}\n{line}\n{prose(5)} {rng.choice([prose(40), long_, short])} {prose(rng.randrange(1, 60))}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    for bound in (8_000, 20):
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in cut_repeats(df, group_contexts=bound).collect())
+        assert got == [(i, *b) for i, b in enumerate(brute(ts, 400))]
+        assert all((r[2] > 0) == (long_ in ts[r[0]]) for r in got)
+
+
+def test_window_minima_in_stretches():
+    h = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    want = [int(np.argmin(h[k : k + 50] >> np.uint64(8))) + k for k in range(2951)]
+    assert suffix_dedup.H.window_minima(h, 50, bits=8).tolist() == want == suffix_dedup.H.window_minima(h, 50).tolist()
