@@ -1,13 +1,15 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-Let partition i hold n_i rows and shard block j need s_j. The matrix of counts m_ij is drawn from
-the law that a uniform permutation of all rows induces: row i is multivariate hypergeometric in
-what the blocks still need. Rows are permuted within their partition (a local sort by a seeded
-hash), cut into runs of m_i1, m_i2, ..., sent to their blocks, and permuted again there. So each
-shard's size is exact (sizes differ by one row at most) and the whole is a uniform shuffle.
+Let partition i hold n_i rows and shard j need s_j. The matrix of counts m_ij is drawn from the law
+that a uniform permutation of all rows induces: row i is multivariate hypergeometric in what the
+shards still need. Rows are permuted within their partition (a local sort by a seeded hash), cut into
+runs of m_i1, m_i2, ..., sent to their shards, and permuted again there. So each shard's size is exact
+(sizes differ by one row at most) and the whole is a uniform shuffle.
 
-A shard is made of blocks of bounded size, so the second permutation never needs one task for a
-shard. Driver state: partitions x blocks counts; no rows.
+The matrix is drawn by halves: of the rows of two sets of partitions, how many of each shard's come
+from the first. All draws of a level are made at once. The second permutation orders a shard by seeded
+hashes; ranges of hashes are blocks of about ``block_rows``, as many as the rows ask for, so no task
+holds a shard. Driver state: partitions x shards counts; no rows.
 
 Defined cases: null or empty texts have size 1; an empty table gives no rows; repeated rows and
 ties are kept, as many as came in; columns that clash with the results are replaced.
@@ -20,57 +22,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import bounded_broadcast, staged
 
 OUT = ("shard", "slot")
+_LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 32)))])
+
+
+def _tail(x: np.ndarray) -> np.ndarray:
+    """What Stirling's formula lacks of log x!, for x of 16 or more."""
+    return 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
+def log_factorial_step(a: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """log (a + d)! - log a!, without cancellation where both are large."""
+    b = a + d
+    x, y = np.maximum(a, 16.0), np.maximum(b, 16.0)
+    far = (y - x) * np.log(y) + (x + 0.5) * np.log1p((y - x) / x) - (y - x) + _tail(y) - _tail(x)
+    low = lambda v: _LOG_FACTORIAL[np.clip(v, 0, 16).astype(np.int64)]
+    return far + low(b) - low(a)  # from 16 on the table's parts cancel
+
+
+def hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of ``n`` rows drawn without return are good; arrays of any size of population.
+
+    Rejection under the bound that holds for every log-concave law on integers, a plateau about the
+    mode with exponential tails; it needs ratios of probabilities only, exact to double precision."""
+    good, bad, n = np.broadcast_arrays(*(np.asarray(v, dtype=np.int64) for v in (good, bad, n)))
+    g, b, k = (v.astype(np.float64) for v in (good, bad, n))
+    total = np.maximum(g + b, 1.0)
+    low, high = np.maximum(0, n - bad), np.minimum(n, good)
+    mode = np.clip(np.floor((k + 1) * ((g + 1) / (total + 2))).astype(np.int64), low, high)
+    variance = k * (g / total) * (b / total) * (np.maximum(total - k, 0) / np.maximum(total - 1, 1))
+    peak = 1 / np.sqrt(1 + 12 * variance)  # no log-concave law's mode is less likely
+    width = 1 + peak / 2
+    out, todo = mode.copy(), np.flatnonzero(low < high)
+    while len(todo):
+        w, q, m = width.flat[todo], peak.flat[todo], mode.flat[todo]
+        u, v, t = rng.random((3, len(todo)))
+        y = np.where(u <= w / (1 + w), v * w, w + rng.exponential(size=len(todo))) / q
+        x = np.where(rng.random(len(todo)) < 0.5, -1, 1) * np.rint(y).astype(np.int64)
+        at = m + x
+        ok = (at >= low.flat[todo]) & (at <= high.flat[todo])
+        d, m = np.where(ok, x, 0).astype(np.float64), m.astype(np.float64)
+        gs, bs, ks = g.flat[todo], b.flat[todo], k.flat[todo]
+        ratio = -log_factorial_step(m, d) - log_factorial_step(gs - m, -d) - log_factorial_step(ks - m, -d) - log_factorial_step(bs - ks + m, d)
+        ok &= np.log(t) + np.minimum(0.0, w - q * y) <= ratio
+        out.flat[todo[ok]] = at[ok]
+        todo = todo[~ok]
+    return out
 
 
 def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.ndarray:
     """Draw the matrix whose row sums are ``counts`` and whose column sums are ``sizes``."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    left = np.array(sizes, dtype=np.int64)
-    m = np.zeros((len(counts), len(sizes)), dtype=np.int64)
-    for i, n in enumerate(counts):
-        need, pool = int(n), int(left.sum())
-        for j in range(len(sizes)):  # chain of hypergeometric draws; exact for any size
-            if need == 0:
-                break
-            good = int(left[j])
-            k = _hypergeometric(rng, good, pool - good, need)
-            m[i, j] = k
-            need -= k
-            pool -= good
-        left -= m[i]
+    levels = [np.array(counts, dtype=np.int64)]
+    while len(levels[-1]) > 1:
+        x = np.append(levels[-1], np.zeros(len(levels[-1]) % 2, dtype=np.int64))
+        levels.append(x[::2] + x[1::2])
+    m = np.array([sizes], dtype=np.int64)
+    for below in levels[-2::-1]:
+        first = np.zeros_like(m)
+        need, pool = below[::2].copy(), m.sum(axis=1)
+        for j in range(m.shape[1]):  # a chain of draws: shard j among what is left
+            pool = pool - m[:, j]
+            first[:, j] = hypergeometric(rng, m[:, j], pool, need)
+            need -= first[:, j]
+        m = np.stack([first, m - first], axis=1).reshape(-1, m.shape[1])[: len(below)]
     return m
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """One draw. NumPy's exact sampler takes populations below 1e9; beyond, the normal form
-    (rounded, clipped to the possible range) is used, whose error there is below one row in 1e4."""
-    if good == 0 or n == 0:
-        return 0
-    if bad == 0:
-        return n
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
-    p = good / (good + bad)
-    total = good + bad
-    sd = (n * p * (1 - p) * (total - n) / max(1, total - 1)) ** 0.5
-    return int(min(max(round(rng.normal(n * p, sd)), max(0, n - bad)), min(good, n)))
-
-
 def exact_sizes(total: int, parts: int) -> list[int]:
     return [total // parts + (k < total % parts) for k in range(parts)]
 
 
-def shard_rows(
-    df: DataFrame, n_shards: int = 16, seed: int = 7, block_rows: int = 200_000, max_blocks: int = 64
-) -> DataFrame:
+def shard_rows(df: DataFrame, n_shards: int = 16, seed: int = 7, block_rows: int = 100_000) -> DataFrame:
     """``df`` with ``shard`` (0 ..) and ``slot`` (gapless from 0 within the shard).
 
-    ``block_rows`` bounds what one task permutes, up to ``max_blocks`` blocks a shard. The input is
-    staged in the shared folder with each row's partition and local rank, so that later steps agree
-    on them even if executors are lost.
+    ``block_rows`` is about what one task permutes. The input is staged in the shared folder with each
+    row's partition and local rank, so that later steps agree on them even if executors are lost.
     """
     keep = [c for c in df.columns if c not in OUT]
     df = df.select(*[F.col(f"`{c}`") for c in keep])
@@ -87,29 +116,21 @@ def shard_rows(
     spark = df.sparkSession
     if not total:
         return df.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).limit(0)
-    per = exact_sizes(total, n_shards)
-    blocks = max(1, min(max_blocks, -(-per[0] // block_rows)))
-    sizes, first = [], []  # block sizes; first slot of each
-    for s in per:
-        at = 0
-        for b in exact_sizes(s, blocks):
-            sizes.append(b)
-            first.append(at)
-            at += b
-    m = communication_matrix([counts[p] for p in parts], sizes, seed)
-    ends = spark.createDataFrame(
-        [(p, [int(v) for v in np.cumsum(m[i])]) for i, p in enumerate(parts)], "s_part int, s_ends array<long>"
-    )
-    x = x.join(F.broadcast(ends), "s_part")  # partitions x blocks numbers, known to the driver
-    x = x.withColumn("s_block", F.size(F.filter("s_ends", lambda e: e <= F.col("s_rank"))))
-    x = x.withColumn("s_again", F.xxhash64(F.lit(seed), F.lit("block"), F.col("s_part"), F.col("s_rank")))
-    x = x.drop("s_ends")
-    w = Window.partitionBy("s_block").orderBy("s_again", "s_part", "s_rank")
-    firsts = F.array(*[F.lit(v).cast("long") for v in first])
+    sizes = exact_sizes(total, n_shards)
+    ends = np.cumsum(communication_matrix([counts[p] for p in parts], sizes, seed), axis=1)
+    ends = spark.createDataFrame([(p, e) for p, e in zip(parts, ends.tolist(), strict=True)], "s_part int, s_ends array<long>")
+    x = x.join(F.broadcast(ends), "s_part")  # partitions x shards numbers, known to the driver
+    x = x.withColumn("shard", F.size(F.filter("s_ends", lambda e: e <= F.col("s_rank")))).drop("s_ends")
+    blocks = -(-sizes[0] // block_rows)
+    x = x.withColumn("s_again", F.xxhash64(F.lit(seed), F.lit("again"), F.col("s_part"), F.col("s_rank")))
+    x = x.withColumn("s_block", F.shiftright(F.shiftrightunsigned("s_again", 33) * F.lit(blocks).cast("long"), 31))
+    own = x.groupBy("shard", "s_block").count()
+    before = F.sum("count").over(Window.partitionBy("shard").orderBy("s_block")) - F.col("count")  # a row per block
+    own = own.select(F.col("shard").alias("b_shard"), F.col("s_block").alias("b_block"), before.alias("b_first"))
+    x = x.join(bounded_broadcast(own, 200_000), (F.col("shard") == F.col("b_shard")) & (F.col("s_block") == F.col("b_block")))
+    w = Window.partitionBy("shard", "s_block").orderBy("s_again", "s_part", "s_rank")
     return x.withColumn("s_no", F.row_number().over(w)).select(
-        *[F.col("s_row").getField(c).alias(c) for c in keep],
-        F.expr(f"cast(s_block div {blocks} as int)").alias("shard"),
-        (F.get(firsts, F.col("s_block")) + F.col("s_no") - 1).alias("slot"),
+        *[F.col("s_row").getField(c).alias(c) for c in keep], "shard", (F.col("b_first") + F.col("s_no") - 1).alias("slot")
     )
 
 
