@@ -288,10 +288,13 @@ def _merge_groups(folder: str):
 def merge_index(folder: str, runs: DataFrame, fan_in: int = 64, range_rows: int = 200_000) -> DataFrame:
     """The runs as one capture history: rows of ``INDEX_SCHEMA``, ordered over the partitions.
 
-    The driver holds the runs' names and at most 64 sample lines of each.
+    The driver holds the runs' names and a million of their sample lines, or one of each run.
     """
     spark = runs.sparkSession
-    found = sorted(runs.select("run", "n", "sample").collect())
+    each = max(1, 1_000_000 // max(1, runs.count()))
+    step = F.greatest(F.lit(1), F.ceil(F.size("sample") / each)).cast("int")
+    thin = F.filter("sample", lambda _, i: i % step == F.floor(step / 2).cast("int"))
+    found = sorted(runs.select("run", "n", F.when(F.size("sample") <= each, F.col("sample")).otherwise(thin)).collect())
     names, total = [r[0] for r in found], sum(r[1] for r in found)
     if not names:
         return spark.createDataFrame([], INDEX_SCHEMA)
@@ -341,16 +344,21 @@ def read_archives(folder: str, runs: DataFrame) -> DataFrame:
     """Every record of the archives: r_file, r_offset, payload_bytes, payload_digest, record_type,
     refers_to, url."""
     schema = "r_file string, r_offset long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    # One row per archive; spread over tasks by name.
-    archives = runs.select("archive").repartition(F.col("archive"))
-    return archives.mapInPandas(_read_archives(folder), schema)
+    # The driver knows the names from the merge; a task each, or a few archives a task where there are very many.
+    names = sorted(r[0] for r in runs.select("archive").collect())
+    if not names:
+        return runs.sparkSession.createDataFrame([], schema)
+    archives = runs.sparkSession.createDataFrame(list(enumerate(names)), "k long, archive string")
+    return archives.repartitionByRange(min(len(names), 50_000), "k").mapInPandas(_read_archives(folder), schema)
 
 
 def capture_history(pages: DataFrame, **options) -> DataFrame:
     """Write, index and read back ``pages``: the merged index with each record's facts."""
     folder, runs = write_archives(pages, **options)
     index, records = merge_index(folder, runs), read_archives(folder, runs)
-    return index.join(records, (F.col("file") == F.col("r_file")) & (F.col("offset") == F.col("r_offset"))).drop("r_file", "r_offset")
+    # Both sides come from short lists of names, which tell the planner nothing of their size: no broadcast.
+    on = (F.col("file") == F.col("r_file")) & (F.col("offset") == F.col("r_offset"))
+    return index.hint("merge").join(records.hint("merge"), on).drop("r_file", "r_offset")
 
 
 def warc_report(pages: DataFrame) -> DataFrame:

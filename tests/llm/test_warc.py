@@ -58,7 +58,9 @@ def test_merged_index_is_ordered_in_rounds_and_ranges(spark):
     keys = [(r.urlkey, r.timestamp, -1 if r.page_id is None else r.page_id) for r in got]
     assert keys == sorted(keys) and len(keys) == len(data)
     assert sorted(k[0] for k in keys) == sorted(url_key(d[1]) for d in data)
-    urls = sorted(str(r.url) for r in read_archives(folder, runs).collect())
+    records = read_archives(folder, runs)
+    assert records.rdd.getNumPartitions() == runs.count()  # archives are read back side by side
+    urls = sorted(str(r.url) for r in records.collect())
     assert urls == sorted(str(d[1] and d[1].replace(" ", "%20").replace("\r", "%0D").replace("\n", "%0A")) for d in data)
 
 
