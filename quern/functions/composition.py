@@ -124,26 +124,25 @@ def canonical(c: Column, with_ratio: bool = False) -> Column:
     return F.when(c.isNotNull(), F.concat(F.coalesce(F.concat(whole_or_decimal(c["loading"]), F.lit("% ")), F.lit("")), stem))
 
 
+def comparable(name: Column) -> Column:
+    """What a comparison of names needs, null where a name is: the one spelling, and the ratio if stated
+    (``stated`` without a number is a ratio to zero)."""
+    ratio = lambda c: F.try_divide(c["base_ratio"][0], c["base_ratio"][1])
+    made = lambda c: F.when(c.isNotNull(), F.struct(canonical(c).alias("spelling"), c["base_ratio"].isNotNull().alias("stated"), ratio(c).alias("ratio")))
+    return let(parse_catalyst(name), made)
+
+
 def composition_match(a: Column, b: Column) -> Column:
-    """Whether two parsed names are one material. A ratio counts where both state one; the
+    """Whether two comparable names are one material. A ratio counts where both state one; the
     difference is relative to ``b``. A ratio to zero matches nothing."""
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: _same(x["a"], x["b"]))
-
-
-def _same(a: Column, b: Column) -> Column:
-    ra = F.try_divide(a["base_ratio"][0], a["base_ratio"][1])
-    rb = F.try_divide(b["base_ratio"][0], b["base_ratio"][1])
-    both = a["base_ratio"].isNotNull() & b["base_ratio"].isNotNull()
-    agree = F.coalesce(F.abs(ra - rb) / F.greatest(rb, F.lit(1e-9)) <= 0.05, F.lit(False))
-    return (
-        F.when(a.isNull() & b.isNull(), F.lit(True))
-        .when(a.isNull() | b.isNull(), F.lit(False))
-        .otherwise((canonical(a) == canonical(b)) & F.when(both, agree).otherwise(F.lit(True)))
-    )
+    agree = F.coalesce(F.abs(a["ratio"] - b["ratio"]) / F.greatest(b["ratio"], F.lit(1e-9)) <= 0.05, F.lit(False))
+    same = (a["spelling"] == b["spelling"]) & (~a["stated"] | ~b["stated"] | agree)
+    return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(same)
 
 
 def catalyst_match(a: Column, b: Column) -> Column:
-    return composition_match(parse_catalyst(a), parse_catalyst(b))
+    both = F.struct(comparable(a).alias("a"), comparable(b).alias("b"))
+    return let(both, lambda x: composition_match(x["a"], x["b"]))
 
 
 def canonical_catalyst(name: Column, with_ratio: bool = False) -> Column:

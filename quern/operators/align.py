@@ -5,54 +5,80 @@ it reaches the floor. Pairs are formed by an equi-join on the group, scores gath
 group, and the choice is a fold over it: one ``aggregate``, no loop on the driver. A group is a
 document of one run, so a matrix is small; ``greedy_large`` takes the fold out of the row for
 groups of very many pairs.
+
+A pair carries a ``code``, three bits a column, that says what became of each of its cells, so cells
+are parsed once and after the choice only keys and codes move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_null
 from ..schema import ALL_COLS, Protocol
 from . import compare
+from .tables import small_side
+
+# What a cell's three bits stand for; 0 is a cell that neither side fills.
+OUTCOMES = (None, "exact", "range", "miss", "fp", "fn", "fn_fig", "fp_un")
 
 
+def _code(digits: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, [F.shiftleft(d.cast("long"), 3 * i) for i, d in enumerate(digits)])
+
 
 def score_pairs(truth: DataFrame, preds: DataFrame, protocols: list[Protocol], keys: list[str]) -> DataFrame:
-    """keys, protocol, min_overlap, gt_ord, pred_ord, score; a gated pair has score -1.
+    """keys, protocol, floor, gt_ord, pred_ord, score, code; a gated pair has score -1.
 
-    ``truth`` and ``preds`` hold the ``keys`` they share, gt_ord or pred_ord, and the columns. Pairs
-    are formed once; every protocol's score is an expression over the same prepared cells.
+    ``truth`` and ``preds`` hold the ``keys`` they share, gt_ord or pred_ord, and the columns; ``preds``
+    may have a _text_recoverable map. Pairs are formed once. What a protocol says of a cell depends on
+    few of its rules, so protocols share those comparisons.
     """
     shared = [k for k in keys if k in truth.columns and k in preds.columns]
     # Rows move while they are short; cells are parsed where the pairs will be formed.
     truth, preds = truth.repartition(*shared), preds.repartition(*shared)
+    shown = F.col("_text_recoverable") if "_text_recoverable" in preds.columns else F.lit(None).cast("map<string,boolean>")
     t = compare.prepare_cells(truth, protocols, "t").select(*[F.col(k).alias(f"t_{k}") for k in shared], "gt_ord", "t")
-    p = compare.prepare_cells(preds, protocols, "p").select(*keys, "pred_ord", "p")
-    on = None
-    for k in shared:
-        same = F.col(k) == F.col(f"t_{k}")
-        on = same if on is None else on & same
-    x = p.join(t, on)
-    scores = []
+    p = compare.prepare_cells(preds, protocols, "p").select(*keys, "pred_ord", "p", shown.alias("shown"))
+    x = p.join(t, reduce(lambda x, y: x & y, [F.col(k) == F.col(f"t_{k}") for k in shared]))
+    a, b = F.col("p"), F.col("t")
+    made: dict[str, Column] = {}
+    for i, c in enumerate(ALL_COLS):
+        missed = F.when(F.coalesce(F.try_element_at("shown", F.lit(c)), F.lit(True)), OUTCOMES.index("fn")).otherwise(OUTCOMES.index("fn_fig"))
+        made[f"s_{i}"] = F.when(~a[c]["null"] & ~b[c]["null"], -1).when(a[c]["null"] & b[c]["null"], 0).when(b[c]["null"], OUTCOMES.index("fp")).otherwise(missed)
+        for q in protocols:
+            made.setdefault(f"k_{i}_{compare.variant(q, c)}", compare.cell_kind(a[c], b[c], c, q))
+            if c == "catalyst" and "composition_cells" in q:
+                made.setdefault(f"k_{i}_composed", compare.cell_kind(a[c], b[c], c, q, composed=True))
+    if any("composition_gate" in q for q in protocols):
+        made["gate"] = compare.gate(a, b)
+    x = x.select(*keys, "gt_ord", "pred_ord", *[v.alias(k) for k, v in made.items()])
+    rows = []
     for q in protocols:
-        score = compare.overlap(F.col("p"), F.col("t"), q)
-        if q.c3_gate:
-            score = F.when(compare.gate(F.col("p"), F.col("t")), score).otherwise(-1)
-        scores.append(F.struct(F.lit(q.name).alias("protocol"), F.lit(q.min_overlap).alias("min_overlap"), score.alias("score")))
-    x = x.select(*keys, "gt_ord", "pred_ord", F.explode(F.array(*scores)).alias("s"))
-    return x.select(*keys, "s.protocol", "s.min_overlap", "gt_ord", "pred_ord", "s.score")
+        kind = lambda i, c: F.col(f"k_{i}_{compare.variant(q, c)}")  # noqa: B023, E731
+        agree = lambda i, c: (kind(i, c) != compare.MISS) & ((F.col(f"s_{i}") == -1) if q.floor else F.lit(True))  # noqa: B023, E731
+        score = reduce(lambda x, y: x + y, [agree(i, c).cast("int") for i, c in enumerate(ALL_COLS) if c != "paper" or (not q.floor and c in q.compared)])
+        if "composition_gate" in q:
+            score = F.when(F.col("gate"), score).otherwise(-1)
+        own = [F.col(f"k_{i}_composed") if c == "catalyst" and "composition_cells" in q else kind(i, c) for i, c in enumerate(ALL_COLS)]
+        code = _code([F.when(F.col(f"s_{i}") == -1, k).otherwise(F.col(f"s_{i}")) for i, k in enumerate(own)])
+        rows.append(F.struct(F.lit(q.name).alias("protocol"), F.lit(q.floor).alias("floor"), score.alias("score"), code.alias("code")))
+    x = x.select(*keys, "gt_ord", "pred_ord", F.explode(F.array(*rows)).alias("s"))
+    return x.select(*keys, "s.protocol", "s.floor", "gt_ord", "pred_ord", "s.score", "s.code")
 
 
 def greedy(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, protocol, gt_ord, pred_ord of the rows that were paired."""
+    """keys, protocol, gt_ord, pred_ord, code of the rows that were paired."""
     by = [*keys, "protocol"]
     rows = pairs.groupBy(*by, "gt_ord").agg(
-        F.sort_array(F.collect_list(F.struct("pred_ord", "score"))).alias("cells"), F.first("min_overlap").alias("min_overlap")
+        F.sort_array(F.collect_list(F.struct("pred_ord", "score", "code"))).alias("cells"), F.first("floor").alias("floor")
     )
-    m = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("gt_ord", "cells"))).alias("m"), F.greatest(F.first("min_overlap"), F.lit(0)).alias("floor"))
+    m = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("gt_ord", "cells"))).alias("m"), F.first("floor").alias("floor"))
 
     def choose(used: Column, row: Column) -> Column:
         free = F.filter(row["cells"], lambda c: (c["score"] >= F.col("floor")) & ~F.array_contains(used, c["pred_ord"]))
@@ -60,17 +86,18 @@ def greedy(pairs: DataFrame, keys: list[str]) -> DataFrame:
         return F.concat(used, F.array(F.coalesce(best["p"], F.lit(-1).cast("bigint"))))
 
     chosen = F.aggregate("m", F.array().cast("array<bigint>"), choose)
-    pairs_of = F.zip_with("m", chosen, lambda r, c: F.struct(r["gt_ord"].alias("gt_ord"), c.alias("pred_ord")))
-    out = m.select(*by, F.explode(pairs_of).alias("x")).select(*by, "x.gt_ord", "x.pred_ord")
-    return out.where("pred_ord >= 0")
+    own = lambda r, p: F.get(F.filter(r["cells"], lambda c: c["pred_ord"] == p), F.lit(0))["code"]
+    pairs_of = F.zip_with("m", chosen, lambda r, p: F.struct(r["gt_ord"].alias("gt_ord"), p.alias("pred_ord"), own(r, p).alias("code")))
+    out = m.select(*by, F.explode(F.filter(pairs_of, lambda x: x["pred_ord"] >= 0)).alias("x"))
+    return out.select(*by, "x.gt_ord", "x.pred_ord", "x.code")
 
 
 def greedy_large(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """As ``greedy`` for groups whose matrix is too large for a row: pairs stream, ordered by truth
     row, through a task that holds only the set of predictions taken."""
     by = [*keys, "protocol"]
-    ordered = pairs.where("score >= greatest(min_overlap, 0)").repartition(*by)
-    ordered = ordered.sortWithinPartitions(*by, "gt_ord", F.desc("score"), "pred_ord").select(*by, "gt_ord", "pred_ord")
+    ordered = pairs.where("score >= floor").repartition(*by)
+    ordered = ordered.sortWithinPartitions(*by, "gt_ord", F.desc("score"), "pred_ord").select(*by, "gt_ord", "pred_ord", "code")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,7 +105,7 @@ def greedy_large(pairs: DataFrame, keys: list[str]) -> DataFrame:
         for b in batches:
             keep = []
             for i, row in enumerate(b.itertuples(index=False, name=None)):
-                key, (gt, pred) = row[:-2], row[-2:]
+                key, (gt, pred, _) = row[:-3], row[-3:]
                 if key != group:
                     group, used, done = key, set(), None
                 if gt != done and pred not in used:
@@ -92,49 +119,33 @@ def greedy_large(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def cell_outcomes(truth: DataFrame, preds: DataFrame, matches: DataFrame, protocols: list[Protocol], keys: list[str]) -> DataFrame:
     """One row per scored cell: keys, protocol, side (gt or pred), gt_ord, pred_ord, column and the
-    counts tp, tp_rng, fp, fp_un, fn, fn_fig. ``preds`` may have a _text_recoverable map.
+    counts tp, tp_rng, fp, fp_un, fn, fn_fig. ``matches`` carry the codes of their pairs.
 
     Truth rows without partner give misses; surplus predictions false positives where the protocol
     penalises them. ``truth`` must hold every group that is scored, also those without predictions.
     """
-    shared = [k for k in keys if k in truth.columns]
-    truth, preds = truth.repartition(*shared), preds.repartition(*shared)
-    p = compare.prepare_cells(preds, protocols, "p")
-    recoverable = F.col("_text_recoverable") if "_text_recoverable" in preds.columns else F.lit(None).cast("map<string,boolean>")
-    p = p.select(*keys, "pred_ord", "p", recoverable.alias("_text_recoverable"))
-    t = compare.prepare_cells(truth, protocols, "t").select(*shared, "gt_ord", "t")
-    names = F.explode(F.array(*[F.lit(q.name) for q in protocols])).alias("protocol")
+    shared, by = [k for k in keys if k in truth.columns], [*keys, "protocol"]
+    said = lambda outcome: _code([F.when(~is_null(F.col(c)), OUTCOMES.index(outcome)).otherwise(0) for c in ALL_COLS]).alias("code")
+    named = lambda own: F.explode(F.array(*[F.lit(q.name) for q in own])).alias("protocol")
+    none = F.lit(None).cast("bigint")
+    x = matches.select(*by, F.lit("gt").alias("side"), "gt_ord", "pred_ord", "code")
+    t = truth.select(*shared, "gt_ord", said("fn"))
     groups = [k for k in keys if k not in shared]
     if groups:  # runs of the grid: versions and repeats
-        t = t.crossJoin(F.broadcast(preds.select(*groups).distinct()))
-    by = [*keys, "protocol"]
-    own = t.select("*", names).join(matches, [*by, "gt_ord"], "left")
-    # Pairs, truth rows alone and predictions alone come out of one join.
-    x = own.join(p.select("*", names), [*by, "pred_ord"], "full")
-    pair, lone = F.col("t").isNotNull() & F.col("p").isNotNull(), F.col("t").isNull()
-    of = lambda q, x: F.when(F.col("protocol") == q.name, x)
-    strict = [q.name for q in protocols if q.penalise_unmatched]
-    x = x.where(~lone | F.col("protocol").isin(*strict)) if strict else x.where(~lone)
-    cols = []
-    for c in ALL_COLS:
-        a, b = F.col("p")[c], F.col("t")[c]
-        kind = F.coalesce(*[of(q, compare.cell_kind(a, b, c, q, composed=q.c3_match)) for q in protocols])
-        shown = F.coalesce(F.try_element_at("_text_recoverable", F.lit(c)), F.lit(True))
-        outcome = (
-            F.when(lone, F.when(~a["null"], F.lit("fp_un")))
-            .when(~pair, F.when(~b["null"], F.lit("fn")))
-            .when(a["null"] & b["null"], F.lit(None))
-            .when(b["null"], F.lit("fp"))
-            .when(a["null"], F.when(shown, F.lit("fn")).otherwise(F.lit("fn_fig")))
-            .otherwise(kind)
-        )
-        cols.append(F.struct(F.lit(c).alias("column"), outcome.alias("outcome")))
-    paper = [q.name for q in protocols if q.score_paper]
-    scored = (F.col("column") != "paper") | F.col("protocol").isin(*paper) if paper else F.col("column") != "paper"
-    side = F.when(lone, F.lit("pred")).otherwise(F.lit("gt")).alias("side")
-    x = x.select(*by, side, "gt_ord", "pred_ord", F.explode(F.array(*cols)).alias("c"))
-    x = x.select(*by, "side", "gt_ord", "pred_ord", F.col("c.column").alias("column"), F.col("c.outcome").alias("outcome")).where(scored)
-    count = lambda *o: F.coalesce(F.col("outcome").isin(*o), F.lit(False)).cast("long")
+        t = t.crossJoin(small_side(preds.select(*groups).distinct()))
+    t = t.select("*", named(protocols)).join(matches.select(*by, "gt_ord"), [*by, "gt_ord"], "left_anti")
+    x = x.unionByName(t.select(*by, F.lit("gt").alias("side"), "gt_ord", none.alias("pred_ord"), "code"))
+    strict = [q for q in protocols if "surplus" in q]
+    if strict:
+        p = preds.select(*keys, "pred_ord", said("fp_un"), named(strict)).join(matches.select(*by, "pred_ord"), [*by, "pred_ord"], "left_anti")
+        x = x.unionByName(p.select(*by, F.lit("pred").alias("side"), none.alias("gt_ord"), "pred_ord", "code"))
+    digit = lambda i: F.shiftright("code", 3 * i).bitwiseAND(F.lit(7)).cast("int")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), digit(i).alias("digit")) for i, c in enumerate(ALL_COLS)])
+    x = x.select(*by, "side", "gt_ord", "pred_ord", F.explode(cells).alias("c"))
+    paper = [q.name for q in protocols if "no_paper" not in q]
+    scored = (F.col("c.column") != "paper") | F.col("protocol").isin(*paper) if paper else F.col("c.column") != "paper"
+    x = x.where(scored).select(*by, "side", "gt_ord", "pred_ord", "c.column", F.get(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("c.digit")).alias("outcome"), "c.digit")
+    count = lambda *o: F.col("digit").isin(*[OUTCOMES.index(y) for y in o]).cast("long")
     return x.select(
         "*",
         count("exact", "range").alias("tp"),
@@ -143,7 +154,7 @@ def cell_outcomes(truth: DataFrame, preds: DataFrame, matches: DataFrame, protoc
         count("fp_un").alias("fp_un"),
         count("fn", "fn_fig", "miss").alias("fn"),
         count("fn_fig").alias("fn_fig"),
-    )
+    ).drop("digit")
 
 
 def side_by_side(truth: DataFrame, preds: DataFrame, matches: DataFrame, protocols: list[Protocol], keys: list[str]) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import composition, units
 from ..functions.text import is_null, normalised
-from ..schema import ALL_COLS, DIMENSIONS, PLAIN_TOLERANCE, SCORE_COLS, TOLERANCES, Protocol
+from ..schema import ALL_COLS, COMPOSED, DIMENSIONS, PLAIN_TOLERANCE, TOLERANCES, Protocol
 
 
 def prepare_cells(df: DataFrame, protocols: list[Protocol], into: str = "cells") -> DataFrame:
     """Add a struct with, per column, what comparisons under ``protocols`` need: null, norm, and
     quantity, plain number or composition. Done before pairing, so a cell is parsed once."""
-    audited, legacy = any(p.unit_norm for p in protocols), any(not p.unit_norm for p in protocols)
+    audited, legacy = any("units" in p for p in protocols), any("units" not in p for p in protocols)
     if audited:
         df = units.with_quantities(df, {f"q__{c}": (F.col(c), DIMENSIONS.get(c)) for c in TOLERANCES})
     out = []
@@ -26,50 +26,45 @@ def prepare_cells(df: DataFrame, protocols: list[Protocol], into: str = "cells")
         if c in TOLERANCES and legacy:
             plain = F.regexp_replace(norm, "%+$", "")
             parts.append(F.when(plain.rlike(rf"^{units.NUMBER}$"), plain.try_cast("double")).alias("number"))
-        if c == "catalyst" and any(p.c3_match or p.c3_gate for p in protocols):
-            parts += [v.isNull().alias("absent"), composition.parse_catalyst(v).alias("parsed")]
+        if c == "catalyst" and any(set(COMPOSED) & p.rules for p in protocols):
+            parts += [v.isNull().alias("absent"), composition.comparable(v).alias("material")]
         out.append(F.struct(*parts).alias(c))
     df = df.withColumn(into, F.struct(*out))
     return df.drop(*[f"q__{c}" for c in TOLERANCES]) if audited else df
 
 
+EXACT, RANGE, MISS = 1, 2, 3
+
+
+def variant(p: Protocol, col: str) -> str:
+    """Which of a cell's comparisons a protocol asks for: those of equal variants are equal."""
+    return "".join(str(int(r in p)) for r in ("own_tolerance", "units", "ranges")) if col in TOLERANCES else "text"
+
+
 def cell_kind(pred: Column, truth: Column, col: str, p: Protocol, composed: bool = False) -> Column:
-    """``exact``, ``range`` or ``miss`` for prepared cells. The protocol is known when the plan is
+    """``EXACT``, ``RANGE`` or ``MISS`` for prepared cells. The protocol is known when the plan is
     made, so only its own branch is in the plan. ``composed`` compares catalysts by composition."""
     a, b = pred["norm"], truth["norm"]
-    hit = lambda ok: F.when(ok, F.lit("exact")).otherwise(F.lit("miss"))
+    hit = lambda ok: F.when(ok, EXACT).otherwise(MISS)
     if col == "catalyst" and composed:
-        return hit(composition.composition_match(pred["parsed"], truth["parsed"]))
+        return hit(composition.composition_match(pred["material"], truth["material"]))
     same = hit(a == b)
     if col in TOLERANCES:
-        mode, tol = (F.lit(x) for x in (TOLERANCES[col] if p.dim_tolerance else PLAIN_TOLERANCE))
-        if p.unit_norm:
-            q = units.quantity_kind(pred["q"], truth["q"], mode, tol)
-            if not p.interval:
-                q = F.when(q == "range", same).otherwise(q)
-            numeric = F.when(pred["q"].isNull() | truth["q"].isNull(), same).otherwise(q)
+        mode, tol = TOLERANCES[col] if "own_tolerance" in p else PLAIN_TOLERANCE
+        if "units" in p:
+            q = units.quantity_kind(pred["q"], truth["q"], F.lit(mode), F.lit(tol))
+            ranged = F.when(q == "range", RANGE) if "ranges" in p else F.when(q == "range", same)
+            numeric = F.when(pred["q"].isNull() | truth["q"].isNull(), same).otherwise(ranged.when(q == "exact", EXACT).otherwise(MISS))
         else:
             x, y = pred["number"], truth["number"]
-            near = F.abs(x - y) <= tol if p.dim_tolerance and TOLERANCES[col][0] == "abs" else F.abs(x - y) / F.greatest(F.abs(y), F.lit(1e-9)) <= tol
+            near = F.abs(x - y) <= tol if mode == "abs" else F.abs(x - y) / F.greatest(F.abs(y), F.lit(1e-9)) <= tol
             numeric = F.when(x.isNull() | y.isNull(), same).otherwise(hit(near))
     else:
         numeric = same
-    return F.when(a.isNull() & b.isNull(), F.lit("exact")).when(a.isNull() | b.isNull(), F.lit("miss")).otherwise(numeric)
+    return F.when(a.isNull() & b.isNull(), EXACT).when(a.isNull() | b.isNull(), MISS).otherwise(numeric)
 
 
 def gate(pred: Column, truth: Column) -> Column:
     """Whether two rows may be one experiment by their catalysts; an absent name fits any."""
     a, b = pred["catalyst"], truth["catalyst"]
-    return a["absent"] | b["absent"] | composition.composition_match(a["parsed"], b["parsed"])
-
-
-def overlap(pred: Column, truth: Column, p: Protocol) -> Column:
-    """Cells on which two rows agree. With a floor only cells that say something count; without,
-    all scored columns do. Composition never counts here, only in the gate."""
-    total = F.lit(0)
-    for c in ALL_COLS if p.score_paper and p.min_overlap <= 0 else SCORE_COLS:
-        agree = cell_kind(pred[c], truth[c], c, p) != "miss"
-        if p.min_overlap > 0:
-            agree = ~pred[c]["null"] & ~truth[c]["null"] & agree
-        total = total + agree.cast("int")
-    return total
+    return a["absent"] | b["absent"] | composition.composition_match(a["material"], b["material"])

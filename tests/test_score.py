@@ -37,11 +37,11 @@ def test_cells(spark):
     assert got["conversion_pct"] == (1, 1, 0, 0, 0, 0) and got["gas_mix"] == (0, 0, 0, 0, 1, 1) and got["GHSV_h"] == (0, 0, 0, 0, 1, 0)
     assert got["LHSV_h"] == (0, 0, 1, 0, 0, 0)
     assert got["catalyst"] == (0, 0, 2, 1, 2, 0)  # other spelling; surplus row; paper B without rows
-    composed = columns(score.score_run(t, p, [Protocol(c3_match=True)]))
+    composed = columns(score.score_run(t, p, [Protocol().plus("strict", "composition_cells")]))
     assert composed["catalyst"] == (1, 0, 1, 1, 1, 0)
-    assert columns(score.score_run(t, p, [Protocol(penalise_unmatched=False)]))["catalyst"] == (0, 0, 1, 0, 2, 0)
+    assert columns(score.score_run(t, p, [Protocol().without("strict", "surplus")]))["catalyst"] == (0, 0, 1, 0, 2, 0)
     assert columns(score.score_present(t, p))["catalyst"] == (0, 0, 2, 1, 1, 0)
-    assert "paper" in columns(score.score_run(t, p, [Protocol.legacy()]))
+    assert "paper" in columns(score.score_run(t, p, [Protocol("legacy", frozenset())]))
 
 
 def test_greedy_is_in_truth_order_and_ties_go_to_the_first(spark):
@@ -56,7 +56,7 @@ def test_greedy_is_in_truth_order_and_ties_go_to_the_first(spark):
 def test_gate(spark):
     t = truth(spark, {"paper": "A", "catalyst": "Mg-Al", "temperature_K": "600", "conversion_pct": "10"})
     p = preds(spark, {"paper": "A", "catalyst": "Zn-Al", "temperature_K": "600", "conversion_pct": "10"})
-    assert score.score_run(t, p)["matches"].count() == 1 and score.score_run(t, p, [Protocol(c3_gate=True)])["matches"].count() == 0
+    assert score.score_run(t, p)["matches"].count() == 1 and score.score_run(t, p, [Protocol().plus("strict", "composition_gate")])["matches"].count() == 0
 
 
 def test_rates(spark):
