@@ -6,10 +6,12 @@ higher-order functions over the line's own array, so nothing is exploded or shuf
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NOT_WS, let, words
+from .text import NOT_WS, WS, let, words
 
 # The confusion model, words that are no numbers, and the shapes of tokens.
 CONFUSED, DIGITS = "OSlIBG", "051186"
@@ -20,6 +22,7 @@ CHEMICAL = (
 )
 LEXICAL = ("ISO", "SOS", "BOB", "GOB", "SOB", "BIOS", "GIS", "SIB", "OBI", "IBS", "BOS", "SIS", "GIG", "BIG", "LOGS", "GOSS", "BOSS", "II", "III", "IV", "OO")
 CLEAN = r"^[-+(]?\d{1,6}(?:[.,]\d{1,6})?[)%]?[.,;:]?$"
+SUSPECT = rf"^[0-9{CONFUSED}.,%()\-+/±–—:;*]*[{CONFUSED}][0-9{CONFUSED}.,%()\-+/±–—:;*]*$"  # shaped like a number, with a letter
 SHAPE = r"^[0-9OSlIBG.,%()\-+/±–—:;*]+$"
 CPC = r"^[A-H][O0oQ][\dOSlIB][A-Z]?\.?$"
 IDENTIFIER = r"^[A-Za-z][\dOSlIBG]*\d[\dOSlIBG]*$"
@@ -41,6 +44,9 @@ TWO_LETTER = (
     "Ce", "Nb", "Mo", "Hf", "Ta", "Li", "Be", "Na", "Cl", "Br", "Sc", "Ga", "Ge", "Se", "In", "Sb", "Te", "Cd", "Ir", "Au", "Pb", "Bi", "Th", "Yb",
     "Er", "Nd", "Sm", "Eu", "Gd", "Pr", "Ho", "Tm", "Lu", "Re", "Os", "Tl", "Hg", "As", "Ar", "Ne", "He", "Kr", "Xe", "Ac", "Pa", "Np", "Pu",
 )
+# A token somewhere on the line that may be a candidate; most lines of prose end here.
+MARK = f"[{re.escape(EDGES)}]"
+WORTH = rf"(?:^|{WS}){MARK}*+[0-9{CONFUSED}.,%()\-+/±–—:;*]*[{CONFUSED}][0-9{CONFUSED}.,%()\-+/±–—:;*]*{MARK}*(?:{WS}|$)"
 BOUNDARY = r"[\d\-()·•/,\.]"
 ELEMENT_2 = rf"(?:^|{BOUNDARY}|[A-Z])(?:{'|'.join(TWO_LETTER)})(?=$|{BOUNDARY}|[A-Z])"
 ELEMENT_1 = rf"(?:^|{BOUNDARY})[KPCNHFVWYU](?=$|{BOUNDARY}|[A-Z])"
@@ -91,9 +97,9 @@ def is_candidate(core: Column) -> Column:
     )
 
 
-def candidates(tokens: Column) -> Column:
+def candidates(cores: Column) -> Column:
     """0-based places of candidate tokens."""
-    marked = F.transform(tokens, lambda t, i: F.when(is_candidate(strip_edges(t)), i))
+    marked = F.transform(cores, lambda c, i: F.when(c.rlike(SUSPECT) & is_candidate(c), i))
     return F.filter(marked, lambda i: i.isNotNull())
 
 
@@ -120,20 +126,21 @@ def classify_line(line: Column) -> Column:
     """
 
     def read(tokens: Column) -> Column:
-        x = F.struct(
-            tokens.alias("tokens"),
-            F.transform(tokens, strip_edges).alias("cores"),
-            F.transform(tokens, is_clean_number).alias("clean"),
-            candidates(tokens).alias("found"),
-        )
-        return let(x, weighed)
+        return let(F.struct(tokens.alias("tokens"), F.transform(tokens, strip_edges).alias("cores")), found)
+
+    def found(x: Column) -> Column:
+        return let(F.struct(x["tokens"].alias("tokens"), x["cores"].alias("cores"), candidates(x["cores"]).alias("found")), counted)
+
+    def counted(x: Column) -> Column:
+        clean = F.transform(x["cores"], lambda c: c.rlike(CLEAN))
+        y = F.struct(x["tokens"].alias("tokens"), x["cores"].alias("cores"), x["found"].alias("found"), clean.alias("clean"))
+        return F.when(F.size(x["found"]) > 0, let(y, weighed))
 
     def weighed(x: Column) -> Column:
         n_clean = F.size(F.filter(x["clean"], lambda c: c))
         mass = n_clean + F.size(x["found"])
         data = (n_clean >= 1) & (mass >= 3) & (mass / F.size(x["tokens"]) >= 0.5)
-        y = F.struct(x.alias("x"), data.alias("data"), (line.rlike(FORMULA) & ~data).alias("formula"))
-        return F.when(F.size(x["found"]) > 0, let(y, confirmed))
+        return let(F.struct(x.alias("x"), data.alias("data"), (line.rlike(FORMULA) & ~data).alias("formula")), confirmed)
 
     def confirmed(y: Column) -> Column:
         x = y["x"]
@@ -159,7 +166,7 @@ def classify_line(line: Column) -> Column:
         )
         return F.when(F.size(places) > 0, out)
 
-    return let(words(line), read)
+    return F.when(line.rlike(WORTH), let(words(line), read))
 
 
 def leading_zero(repaired: Column) -> Column:
@@ -189,6 +196,8 @@ def repair_line(line: Column, scope: str = "data", use_d1: bool = True, use_d2:
     """struct (text, kind, changes): the line with damaged tokens repaired in place, spacing kept;
     changes hold place, before, after and tier (T1 characters, D1 leading zero, D2 consensus)."""
 
+    none = F.expr("cast(array() as array<struct<place:int,before:string,after:string,tier:string>>)")
+
     def fix(x: Column) -> Column:
         v, tokens = x["verdict"], x["tokens"]
 
@@ -204,10 +213,8 @@ def repair_line(line: Column, scope: str = "data", use_d1: bool = True, use_d2:
             tier = F.when(d1.isNotNull(), F.lit("D1")).when(d2.isNotNull(), F.lit("D2")).otherwise(F.lit("T1"))
             return F.struct(i.alias("place"), raw.alias("before"), after.alias("after"), tier.alias("tier"), (fixed != core).alias("new"))
 
-        wanted = v.isNotNull() & (F.lit(scope != "data") | (v["kind"] == "DATA"))
         changes = F.filter(F.transform(v["places"], change), lambda c: c["new"])
-        none = F.expr("cast(array() as array<struct<place:int,before:string,after:string,tier:string,new:boolean>>)")
-        return let(F.struct(x.alias("x"), F.when(wanted, changes).otherwise(none).alias("changes")), rebuilt)
+        return let(F.struct(x.alias("x"), changes.alias("changes")), rebuilt)
 
     def rebuilt(y: Column) -> Column:
         x, changes = y["x"], y["changes"]
@@ -218,12 +225,16 @@ def repair_line(line: Column, scope: str = "data", use_d1: bool = True, use_d2:
         shown = F.transform(changes, lambda c: F.struct(c["place"].alias("place"), c["before"].alias("before"), c["after"].alias("after"), c["tier"].alias("tier")))
         return F.struct(text.alias("text"), x["verdict"]["kind"].alias("kind"), shown.alias("changes"))
 
-    def start(tokens: Column) -> Column:
-        first = F.struct(tokens.alias("tokens"), classify_line(line).alias("verdict"))
-        agreed = lambda x: one_decimal_row(x["tokens"], F.coalesce(x["verdict"]["places"], F.expr("cast(array() as array<int>)"))) if use_d2 else F.lit(False)
-        return let(first, lambda x: let(F.struct(x["tokens"].alias("tokens"), x["verdict"].alias("verdict"), agreed(x).alias("consensus")), fix))
+    def start(verdict: Column) -> Column:
+        untouched = F.struct(line.alias("text"), verdict["kind"].alias("kind"), none.alias("changes"))
+        wanted = verdict.isNotNull() & (F.lit(scope != "data") | (verdict["kind"] == "DATA"))
+        return F.when(wanted, let(F.struct(words(line).alias("tokens"), verdict.alias("verdict")), agreed)).otherwise(untouched)
+
+    def agreed(x: Column) -> Column:
+        same = one_decimal_row(x["tokens"], x["verdict"]["places"]) if use_d2 else F.lit(False)
+        return let(F.struct(x["tokens"].alias("tokens"), x["verdict"].alias("verdict"), same.alias("consensus")), fix)
 
-    return let(words(line), start)
+    return let(classify_line(line), start)
 
 
 def parseable(line: Column) -> Column:

@@ -22,12 +22,13 @@ def text_lines(pages: DataFrame, text: str = "text") -> DataFrame:
 def repaired_lines(lines: DataFrame, scope: str = "data", use_d1: bool = True, use_d2: bool = False) -> DataFrame:
     """``lines`` with fixed (text), kind, changes, and whether the row counts as data."""
     x = lines.withColumn("r", fx.repair_line(F.col("line"), scope, use_d1, use_d2))
-    tokens = F.size(words(F.col("line")))
-    numeric = fx.parseable(F.col("line"))
+    count = F.struct(F.size(words(F.col("line"))).alias("n"), fx.parseable(F.col("line")).alias("ok"))
+    x = x.withColumn("t", count)
+    tokens, numeric = F.col("t.n"), F.col("t.ok")
     data = (F.col("r.kind") == "DATA") | ((tokens >= 4) & (numeric >= 3))
     return x.select(
         *lines.columns, F.col("r.text").alias("fixed"), F.col("r.kind").alias("kind"), F.col("r.changes").alias("changes"),
-        F.coalesce(data, F.lit(False)).alias("is_data"), tokens.alias("n_tokens"), numeric.alias("n_parseable"), fx.parseable(F.col("r.text")).alias("n_parseable_after"),
+        F.coalesce(data, F.lit(False)).alias("is_data"), tokens.alias("n_tokens"), numeric.alias("n_parseable"), F.when(F.size("r.changes") > 0, fx.parseable(F.col("r.text"))).otherwise(numeric).alias("n_parseable_after"),
     )
 
 
