@@ -14,11 +14,16 @@ def slug(paper: Column) -> Column:
     return F.replace(F.replace(F.lower(paper), F.lit(" "), F.lit("")), F.lit("/"), F.lit(""))
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``rows`` rows, which is counted; else as Spark chooses."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def grid(*dims: DataFrame) -> DataFrame:
     """Every combination of small dimensions (documents, versions, repeats)."""
     out = dims[0]
     for d in dims[1:]:
-        out = out.crossJoin(F.broadcast(d))
+        out = out.crossJoin(small_side(d))
     return out
 
 
@@ -46,8 +51,16 @@ def systematic_sample(df: DataFrame, by: list[str], order: list[str], n: int) ->
 
 
 def key_union(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Keys of either; with the number that only one side has, for a warning."""
-    return a.unionByName(b).distinct()
+    """Keys of either, with ``only``: a or b where one side alone has the key, null where both do."""
+    x = a.distinct().withColumn("k_a", F.lit(True)).join(b.distinct().withColumn("k_b", F.lit(True)), a.columns, "full")
+    return x.withColumn("only", F.when(F.col("k_b").isNull(), "a").when(F.col("k_a").isNull(), "b")).drop("k_a", "k_b")
+
+
+def key_mismatch(union: DataFrame) -> DataFrame:
+    """What a warning about two key sets says: n_keys, only_a, only_b, warning."""
+    x = union.agg(F.count("*").alias("n_keys"), F.count_if(F.col("only") == "a").alias("only_a"), F.count_if(F.col("only") == "b").alias("only_b"))
+    said = F.concat(F.lit("keys differ: "), F.col("only_a").cast("string"), F.lit(" in the first only, "), F.col("only_b").cast("string"), F.lit(" in the second only"))
+    return x.withColumn("warning", F.when((F.col("only_a") > 0) | (F.col("only_b") > 0), said))
 
 
 def positional_join(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str], by: list[str]) -> DataFrame:

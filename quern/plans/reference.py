@@ -38,5 +38,14 @@ def repair_judgements(edits: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
+def repair_counts(edits: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per document what a warning says: edits and printed values, pairs whose tokens drifted apart, and
+    whether the lists differ in length."""
+    n = lambda x, name: x.groupBy("doc").agg(F.count("*").alias(name))
+    drift = repair_judgements(edits, truth).groupBy("doc").agg(F.count_if("drift").alias("n_drift"))
+    x = n(edits, "n_edits").join(n(truth, "n_truth"), "doc", "full").join(drift, "doc", "left").fillna(0)
+    return x.withColumn("mismatch", F.col("n_edits") != F.col("n_truth"))
+
+
 def repair_accuracy(edits: DataFrame, truth: DataFrame) -> DataFrame:
     return metrics.accuracy(repair_judgements(edits, truth), F.col("correct"))

@@ -18,7 +18,7 @@ from .schema import Protocol, audit_protocols, c3_protocols
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 STRICT = Protocol("strict")
-RESTRICTED = Protocol("restricted", penalise_unmatched=False)
+RESTRICTED = STRICT.without("restricted", "surplus")
 
 
 def query(sql: str | None = None):
@@ -345,11 +345,15 @@ def dedupe_keep_first(spark, sf_dir):
 # ── Grids, ranks, samples, hashes ────────────────────────────────────────────
 
 
-@query("select source, lang from (select distinct source from documents) a cross join (select distinct lang from documents) b where not exists (select 1 from documents d where d.source = a.source and d.lang = b.lang)")
+# A grid with a hole in every fourth diagonal.
+HELD = "select c_nationkey, c_mktsegment from customer where (c_nationkey + length(c_mktsegment)) % 4 <> 0"
+
+
+@query(f"select n_nationkey as c_nationkey, c_mktsegment from nation cross join (select distinct c_mktsegment from customer) x where not exists (select 1 from ({HELD}) h where h.c_nationkey = n_nationkey and h.c_mktsegment = x.c_mktsegment)")
 def grid_completeness(spark, sf_dir):
-    x = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang")
-    expected = tables.grid(x.select("source").distinct(), x.select("lang").distinct())
-    return tables.missing_cells(expected, x, ["source", "lang"]).where("source is not null and lang is not null")
+    x = rows(spark, sf_dir, HELD, "customer", "nation")
+    expected = tables.grid(spark.table("nation").select(F.col("n_nationkey").alias("c_nationkey")), spark.table("customer").select("c_mktsegment").distinct())
+    return tables.missing_cells(expected, x, ["c_nationkey", "c_mktsegment"])
 
 
 @query("select s.source, l.lang, count(d.doc_id) as n from (select distinct source from documents) s cross join (select distinct lang from documents) l left join documents d on d.source = s.source and d.lang = l.lang group by all")
@@ -425,24 +429,30 @@ def changed_positions(spark, sf_dir):
     return rows(spark, sf_dir, TOKENS, "lineitem").select("l_orderkey", "l_linenumber", fidelity.changed_positions(t, fidelity.repair_chars(t)).alias("places"))
 
 
-@query()
+DOC_LINE = "doc, page, line_no"
+
+
+@query(f"{oracle.damaged_lines(LINES, DOC_LINE)} select {DOC_LINE}, kind, suspects, repaired from damaged")
 def ocr_line_kind(spark, sf_dir):
-    """Damaged lines with their kind, tokens and repairs; tested against a plain reading of the rules."""
+    """Damaged lines with their kind, tokens and repairs."""
     x = documents.line_verdicts(_lines(spark, sf_dir))
     return x.select("doc", "page", "line_no", "kind", "suspects", "repaired")
 
 
-@query()
+@query(
+    f"""{oracle.edited_lines(oracle.numbered(LINES), f'uid, {DOC_LINE}', True)} select {DOC_LINE}, cast(n as int) as n, kind, before, after, tier, trim(line) as line_before, trim(fixed) as line_after
+    from edits join fixed using (uid, {DOC_LINE})"""
+)
 def repair_edits(spark, sf_dir):
     return documents.changes(documents.repaired_lines(_lines(spark, sf_dir), use_d2=True))
 
 
-@query()
+@query(oracle.coverage(LINES, "page"))
 def repair_coverage(spark, sf_dir):
     return documents.repair_coverage(documents.repaired_lines(_lines(spark, sf_dir)), ["page"])
 
 
-@query()
+@query(f"{oracle.damaged_lines(LINES, DOC_LINE)} {oracle.CHARS}")
 def char_hits(spark, sf_dir):
     return documents.char_hits(documents.line_verdicts(_lines(spark, sf_dir)))
 
@@ -452,7 +462,7 @@ def _pages(spark, sf_dir):
     return x.select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text")
 
 
-@query()
+@query(oracle.REPORT)
 def doc_report(spark, sf_dir):
     """Line statistics of every document, with fonts and image covers derived from its id."""
     pages = _pages(spark, sf_dir)
@@ -504,13 +514,13 @@ def tail_strip(spark, sf_dir):
     return x.select("doc_id", F.length(segments.strip_tail(F.col("text"))).cast("long").alias("n"))
 
 
-@query()
+@query(f"with {oracle.sections('text', HEADED, 'doc_id')} select doc_id, cast(row_number() over (partition by doc_id order by k) - 1 as int) as no, kind, heading, md5(body) as body_md5 from sections")
 def section_split(spark, sf_dir):
     x = rows(spark, sf_dir, HEADED, "documents").select("doc_id", F.posexplode(segments.split_sections(F.col("text"))).alias("no", "s"))
     return x.select("doc_id", "no", "s.kind", "s.heading", F.md5("s.body").alias("body_md5"))
 
 
-@query()
+@query(oracle.chunked(HEADED, 4000))
 def chunks_by_version(spark, sf_dir):
     x = rows(spark, sf_dir, HEADED, "documents").withColumn("version", F.when(F.col("doc_id") % 2 == 0, "V3").otherwise("V1"))
     x = x.select("doc_id", F.posexplode(segments.chunks_for(F.col("version"), F.col("text"), 4000)).alias("no", "c"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import null_csv
 from ..schema import ALL_COLS, PREDICTION_SCHEMA, TRUTH_SCHEMA
+from . import files
 
 # The file layouts of a run.
 EXTRACTED = r"^(.+?)_(B0|V\d)_r(\d+)_extracted\.json$"
@@ -19,7 +20,8 @@ ATTEMPT_SCHEMA = (
 
 
 def file_name() -> Column:
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    """The plain name; Spark's is escaped, as in ``results%5B2%5D``, but for a plus sign."""
+    return F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B")))
 
 
 def read_truth(spark: SparkSession, path: str, paper: str | None = None) -> DataFrame:
@@ -45,12 +47,26 @@ def _struct() -> str:
     return ", ".join(f"{n}: {t}" for n, t in (c.strip().split(" ", 1) for c in PREDICTION_SCHEMA.replace("map<string,", "map<string;").split(","))).replace("map<string;", "map<string,")
 
 
+def _listed(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    """The files of a folder or glob whose names fit; listed, not opened."""
+    names = [(n,) for n, *_ in files.names(spark, path)]
+    return spark.createDataFrame(names, "file string").where(F.col("file").rlike(layout))
+
+
+def _cell(layout: str, file: str = "file") -> list[Column]:
+    part = lambda k: F.regexp_extract(file, layout, k)
+    return [part(1).alias("slug"), part(2).alias("version"), part(3).cast("int").alias("rep")]
+
+
 def discover(spark: SparkSession, path: str) -> DataFrame:
-    """The cells (slug, version, rep) that a run has files for."""
-    x = spark.read.text(path, wholetext=True).select(file_name().alias("file")).where(F.col("file").rlike(EXTRACTED))
-    return x.select(
-        F.regexp_extract("file", EXTRACTED, 1).alias("slug"), F.regexp_extract("file", EXTRACTED, 2).alias("version"), F.regexp_extract("file", EXTRACTED, 3).cast("int").alias("rep"), "file"
-    )
+    """The cells (slug, version, rep) that a run has files for, told by the names in a folder or glob."""
+    return _listed(spark, path, EXTRACTED).select(*_cell(EXTRACTED), "file")
+
+
+def reply_files(spark: SparkSession, path: str) -> DataFrame:
+    """The reply files of a folder or glob, by their names: slug, version, rep, label, failed, path."""
+    x = _listed(spark, path, REPLY)
+    return x.select(*_cell(REPLY), F.regexp_extract("file", REPLY, 4).alias("label"), F.col("file").endswith(".FAILED.txt").alias("failed"), F.col("file").alias("path"))
 
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
@@ -80,7 +96,8 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A sheet saved as CSV in cells: row_no, col_no, value. Its header is found later."""
     x = spark.read.text(path).withColumn("row_no", F.monotonically_increasing_id())
-    width = 64
+    # A row's width is bounded by its commas, so a schema of the widest row holds every cell.
+    width = 1 + (x.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","), F.lit(""))))).first()[0] or 0)
     cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))))
     x = x.select("row_no", cells.alias("c")).select("row_no", F.posexplode(F.array(*[F.col(f"c.c{i}") for i in range(width)])).alias("col_no", "value"))
     return x.where("value is not null")
@@ -101,5 +118,6 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    x = spark.read.format("binaryFile").load(path)
-    return x.select("path", "length", "modificationTime")
+    """Name, path, length and time of change of a folder's or glob's files; none is opened."""
+    x = spark.createDataFrame(files.names(spark, path), "file string, path string, length long, millis long")
+    return x.select("file", "path", "length", F.timestamp_millis("millis").alias("modificationTime"))

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import systematic_sample
+from . import files
 
 
 def write_records(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Rows as JSON, partitioned by the cell they belong to."""
+    """Rows as JSON, partitioned by the cell they belong to; never into a run that is finished."""
+    if files.exists(rows.sparkSession, f"{path.rstrip('/')}/DO_NOT_RERUN"):
+        raise ValueError(f"{path} is finished")
     rows.write.mode(mode).partitionBy("slug", "version", "rep").json(path)
 
 

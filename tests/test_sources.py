@@ -1,8 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import documents, tables
+from quern.operators import documents, extract, tables
+from quern.plans import runs
 from quern.sources import readers, writers
 from quern.streaming import follow_attempts
 
@@ -54,3 +56,62 @@ def test_record_and_report_sinks(spark, tmp_path):
     assert {r.value for r in spark.read.text(str(tmp_path / "text")).collect()} == {"300 200 10.5 45.2"}
     top = documents.samples(documents.line_verdicts(documents.text_lines(pages)), 2).orderBy("page").collect()
     assert [r.page for r in top] == [1, 2] and documents.tier_counts(documents.changes(fixed)).select(F.sum("n")).first()[0] == 18
+
+
+def test_names_are_plain(spark, tmp_path):
+    for name in ("a b_V4_r1_results[2].txt", "c+d_V4_r2_methods_a2.FAILED.txt", "e%5B_B0_r1_tables.txt", "other.txt"):
+        (tmp_path / name).write_text("x")
+    want = [("a b", "V4", 1, "results[2]", False), ("c+d", "V4", 2, "methods", True), ("e%5B", "B0", 1, "tables", False)]
+    for read in (readers.read_replies, readers.reply_files):
+        assert sorted((r.slug, r.version, r.rep, r.label, r.failed) for r in read(spark, str(tmp_path)).collect()) == want
+
+
+def test_wide_sheets_and_empty_ones(spark, tmp_path):
+    (tmp_path / "s.csv").write_text(",".join(f"c{i}" for i in range(300)) + "\n" + ",".join(map(str, range(300))))
+    cells = readers.read_sheet(spark, str(tmp_path / "s.csv"))
+    assert tables.header_row(cells, "c7").where("header = 'c299'").first().value == "299"
+    (tmp_path / "e.csv").write_text("")
+    assert readers.read_sheet(spark, str(tmp_path / "e.csv")).count() == 0
+
+
+def test_runs_are_finished_once(spark, tmp_path):
+    run = tmp_path / "run"
+    (run / "raw").mkdir(parents=True)
+    (run / "a_V4_r1_extracted.json").write_text('[{"paper": "A"}, {"paper": "A"}]')
+    (run / "raw" / "a_V4_r1_body[1].txt").write_text("[]")
+    one = spark.createDataFrame([("a", "V4", 1)], "slug string, version string, rep int")
+    two = spark.createDataFrame([("a", "V4", 1), ("a", "V4", 2)], one.schema)
+    with pytest.raises(ValueError, match="missing"):
+        runs.finalise(spark, str(run), two)
+    assert not runs.is_frozen(spark, str(run))
+    assert [tuple(r) for r in runs.finalise(spark, str(run), one).select("slug", "n_rows", "n_calls", "n_failed_calls").collect()] == [("a", 2, 1, 0)]
+    assert len((run / "manifest_SHA256.txt").read_text().splitlines()) == 2
+    with pytest.raises(ValueError, match="finished"):
+        runs.finalise(spark, str(run), one)
+    with pytest.raises(ValueError, match="finished"):
+        writers.write_records(one, str(run))
+
+
+def test_metadata_is_merged_into_its_file(spark, tmp_path):
+    x = spark.createDataFrame([("r", "a", "V4", 1, "ok", 1.5, 0.25, ["m"]), ("r", "a", "V4", 1, "call_error", 0.5, None, ["n"])], "run_id string, slug string, version string, rep int, status string, elapsed_s double, cost_usd double, models array<string>")
+    meta = runs.run_metadata(x)
+    path = str(tmp_path)
+    (tmp_path / "meta.json").write_text("{broken")
+    runs.write_metadata(meta, path)
+    runs.write_metadata(runs.run_metadata(x.withColumn("slug", F.lit("b"))), path)
+    got = json.loads((tmp_path / "meta.json").read_text())
+    assert (got["cells"], got["calls"], got["failed_calls"], got["call_failure_rate"], got["merged_invocations"]) == (2, 4, 2, 0.5, 2)
+    assert got["papers"] == ["a", "b"] and got["models_observed"] == ["m", "n"] and got["wall_clock_s"] == 4.0
+    runs.write_metadata(meta.withColumn("run_id", F.lit("other")), path)
+    assert json.loads((tmp_path / "meta.json").read_text())["merged_invocations"] == 1
+
+
+def test_extraction_defined_cases(spark):
+    chunks = spark.createDataFrame([("a", None), ("b", "x"), ("b", "x")], "chunk string, prompt string")
+    got = extract.extract(chunks, lambda: lambda p: p + "!")
+    assert sorted((r.chunk, r.attempt, r.status, r.text) for r in got.collect()) == [("a", 1, "ok", "!"), ("b", 1, "ok", "x!"), ("b", 1, "ok", "x!")]
+    assert extract.extract(chunks.limit(0), lambda: str).count() == 0
+    assert extract.variant("one two", [("two", "three")]) == "one three"
+    for edit in (("four", ""), ("o", "")):
+        with pytest.raises(ValueError, match="places"):
+            extract.variant("one two", [edit])
