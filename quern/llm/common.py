@@ -27,17 +27,26 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/quern/{uuid.uuid4().hex}/{name}"
+    """A new folder for a table; all of an application's are below one, see ``clean``."""
+    return f"{work_dir(spark)}/quern/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables and archives that this application has staged, once no result is read any more."""
+    drop_staged(spark, f"{work_dir(spark)}/quern/{spark.sparkContext.applicationId}")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives
     lost executors, and fixes the partition layout for what follows."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out, out.staged_at = staged_at(df, name)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables whose last reader has been written."""
+    for t in tables:
+        drop_staged(t.sparkSession, t.staged_at)
 
 
 def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -69,12 +78,18 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
-def skew_join(x: DataFrame, y: DataFrame, on: list[str], how: str = "inner", parts: int = 64, shares: int = 100_000) -> DataFrame:
-    """``x`` joined with ``y`` on the columns ``on`` of both. Keys with over 10,000 rows and over 1 / ``shares`` of
-    ``x`` (so ``shares`` keys at most, which are broadcast) are dealt to ``parts`` tasks by the rest of the row, and
-    their rows of ``y``, of which there should be few, go to each."""
-    n = x.count()
-    hot = staged(x.groupBy(*on).count().where(F.col("count") > max(10_000, n // shares)).select(*on, F.lit(True).alias("j_hot")), "hot")
+def skew_join(x: DataFrame, y: DataFrame, on: list[str], how: str = "inner", counted: str | None = None, parts: int = 64, shares: int = 100_000, small_rows: int = 200_000, least: int = 10_000) -> DataFrame:
+    """``x`` joined with ``y`` (staged, narrow) on the columns ``on`` of both. ``y`` is broadcast if it has at most
+    ``small_rows`` rows, which is counted. Else keys with over ``least`` rows and over 1 / ``shares`` of ``x`` (so
+    ``shares`` keys at most, which are broadcast) are dealt to ``parts`` tasks by the rest of the row, and their rows
+    of ``y``, of which there should be few, go to each. ``counted``: a column of ``y`` that has the rows of ``x`` by key
+    already; it is dropped."""
+    if small(y, small_rows):
+        return x.join(F.broadcast(y.drop(counted) if counted else y), on, how)
+    least = max(least, x.count() // shares)
+    n = y.select(*on, F.col(counted).alias("j_n")) if counted else x.groupBy(*on).agg(F.count("*").alias("j_n"))
+    hot = staged(n.where(F.col("j_n") > least).select(*on, F.lit(True).alias("j_hot")), "hot")
+    y = y.drop(counted) if counted else y
     if not hot.limit(1).count():
         return x.join(y, on, how)
     hot = F.broadcast(hot)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import bounded_broadcast, skew_join, staged
+from .common import bounded_broadcast, drop, skew_join, staged
 
 ANCHOR_SCHEMA = "gram long, tid binary, pos long, first long, last long"
 CONTEXT_SCHEMA = "gram long, ctx_key binary, tid binary, pos long, d_low long, d_high long, ctx binary"
@@ -317,7 +317,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, group_contexts: int = 8_000, batch: int = 6_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, group_contexts: int = 4_000, batch: int = 3_000) -> DataFrame:
     """``docs``: tid (digest of the text), text. (tid, spans: array of from, to) of the texts with
     bytes under a string that starts elsewhere in the texts, each text taken once."""
     spark = docs.sparkSession
@@ -325,11 +325,13 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, group_co
     a = staged(long_.mapInPandas(_anchor_rows(length, gram), ANCHOR_SCHEMA), "anchors")
     # The same (text, position) may come from several copies; another one gives another number.
     place = F.xxhash64("tid", "pos")
-    twice = a.groupBy("gram").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("gram")
-    left = skew_join(a, twice, ["gram"], "left_semi")
+    twice = a.groupBy("gram").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    twice = staged(twice.select("gram", "n"), "shared-grams")
+    left = skew_join(a, twice, ["gram"], "left_semi", "n")
     found = left.groupBy("tid").agg(F.collect_set(F.struct("gram", "pos", "first", "last")).alias("found"))
     x = long_.join(found.withColumnRenamed("tid", "f_tid"), F.col("tid") == F.col("f_tid")).select("tid", "text", "found")
     c = staged(x.mapInPandas(_context_rows(length), CONTEXT_SCHEMA), "contexts")
+    drop(a, twice)
     thin = c.select("gram", "ctx_key", "tid", "pos", "d_low", "d_high")
 
     # Contexts that occur at two places repeat in all their windows.
@@ -352,7 +354,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, group_co
         todo, done = hot.where(F.col("c_left") + F.col("c_right") < length), hot.where(F.col("c_left") + F.col("c_right") >= length)
         # Cores that are whole windows: the bytes themselves are grouped.
         both = done.groupBy("ctx").agg(F.min("ctx_key").alias("lo"), F.max("ctx_key").alias("hi")).where("lo < hi").select("ctx")
-        hits.append(staged(skew_join(done.select("ctx", "gram", "ctx_key", "d_low", "d_high"), both, ["ctx"], "left_semi").select("gram", "ctx_key", F.col("d_low").alias("d_from"), F.col("d_high").alias("d_to")), "hits"))
+        hits.append(staged(skew_join(done.select("ctx", "gram", "ctx_key", "d_low", "d_high"), staged(both, "both"), ["ctx"], "left_semi").select("gram", "ctx_key", F.col("d_low").alias("d_from"), F.col("d_high").alias("d_to")), "hits"))
     for h in hits:
         same = same.unionByName(h)
     same = staged(same, "hits")
