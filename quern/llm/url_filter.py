@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_broadcast
+from .common import ascii_lower, bounded_broadcast, staged
 
 
 def url_host(url: Column) -> Column:
@@ -49,7 +49,6 @@ def judge_urls(
     Rule tables of up to ``broadcast_rows`` rows (counted first) are broadcast; larger ones are
     shuffled by the hash prefix. Columns of ``pages`` with the names of the results are replaced.
     """
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     r = (
         rules.where(F.col("host").isNotNull() & F.col("verdict").isNotNull())
         .select(
@@ -72,42 +71,30 @@ def judge_urls(
         x[0]
         for x in r.select(F.size(F.split("r_host", r"\.", -1)).alias("n")).distinct().orderBy("n").collect()
     ]  # as many as a host name of the rules has labels, at most
-    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("q_row")
-    x = pages.select(row, F.col(f"`{url_col}`").alias("q_url")).select(
-        "q_row",
-        F.monotonically_increasing_id().alias("q_id"),
-        url_host(F.col("q_url")).alias("q_host"),
-        url_path(F.col("q_url")).alias("q_path"),
-    )
+    # A verdict depends on the URL alone: distinct URLs are judged, and rows meet those that have a rule.
+    url = F.col(f"`{url_col}`")
+    x = pages.select(url.alias("q_url")).where("q_url is not null").distinct()
+    x = x.select("q_url", url_host(F.col("q_url")).alias("q_host"), url_path(F.col("q_url")).alias("q_path"))
     n = F.size(F.split("q_host", r"\.", -1))
-    # 0 stands for the page itself, so that pages without a rule stay.
-    wanted = F.filter(F.array(F.lit(0), *[F.lit(k) for k in labels]), lambda k: k <= n)
-    x = x.withColumn("q_labels", F.explode(wanted))
-    x = x.withColumn("q_suffix", F.when(F.col("q_labels") > 0, F.expr("substring_index(q_host, '.', -q_labels)")))
-    x = x.withColumn("q_hdigest", F.when(F.col("q_suffix").isNotNull(), _digest(F.col("q_suffix"))))
+    wanted = F.filter(F.array(*[F.lit(k) for k in labels]) if labels else F.array().cast("array<int>"), lambda k: k <= n)
+    x = x.withColumn("q_labels", F.explode(wanted)).withColumn("q_suffix", F.expr("substring_index(q_host, '.', -q_labels)"))
+    x = x.withColumn("q_hdigest", _digest(F.col("q_suffix")))
     hosts = bounded_broadcast(hosts, broadcast_rows)
-    x = x.join(hosts, (_short(F.col("q_hdigest")) == F.col("h_short")) & (F.col("q_hdigest") == F.col("h_digest")), "left")
-    x = x.where(F.col("h_digest").isNotNull() | (F.col("q_labels") == 0))
-    x = x.withColumn("q_length", F.explode_outer(F.filter("h_lengths", lambda k: k <= F.length("q_path"))))
-    x = x.withColumn(
-        "q_digest",
-        F.when(F.col("q_length").isNotNull(), _digest(F.col("q_suffix"), F.expr("substring(q_path, 1, q_length)"))),
-    )
+    x = x.join(hosts, (_short(F.col("q_hdigest")) == F.col("h_short")) & (F.col("q_hdigest") == F.col("h_digest")))
+    x = x.withColumn("q_length", F.explode(F.filter("h_lengths", lambda k: k <= F.length("q_path"))))
+    x = x.withColumn("q_digest", _digest(F.col("q_suffix"), F.expr("substring(q_path, 1, q_length)")))
     rr = bounded_broadcast(r, broadcast_rows)
-    x = x.join(rr, (_short(F.col("q_digest")) == F.col("r_short")) & (F.col("q_digest") == F.col("r_digest")), "left")
-    best = F.max_by(
-        F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")),
-        F.when(F.col("r_digest").isNotNull(), F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"))),
-    )
-    x = x.groupBy("q_id").agg(
-        F.first("q_row").alias("q_row"), F.first("q_host").alias("host"), F.first("q_path").alias("path"), best.alias("best")
-    )
+    x = x.join(rr, (_short(F.col("q_digest")) == F.col("r_short")) & (F.col("q_digest") == F.col("r_digest")))
+    best = F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host")))
+    ruled = x.groupBy("q_url").agg(best.alias("q_best"))
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]).alias("q_row")
+    x = pages.select(row, url.alias("q_own")).join(staged(ruled, "ruled"), F.col("q_own") == F.col("q_url"), "left")
     return x.select(
-        *[F.col("q_row").getField(c).alias(c) for c in keep],
-        "host",
-        "path",
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        "q_row.*",
+        url_host(F.col("q_own")).alias("host"),
+        url_path(F.col("q_own")).alias("path"),
+        F.col("q_best.rule").alias("rule"),
+        F.coalesce("q_best.verdict", F.lit(default)).alias("verdict"),
     )
 
 
