@@ -146,5 +146,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, positions."""
-    return schedule(docs).select("doc_id", F.col("m_size").alias("size"), "source_size", "target", "taken", "positions")
+    """One row per document, range-sorted by the first training position (those not taken last): doc_id, size,
+    source_size, target, taken, positions."""
+    x = staged(schedule(docs).select("doc_id", F.col("m_size").alias("size"), "source_size", "target", "taken", "positions"), "mix-plan")
+    return x.orderBy(F.asc_nulls_last(F.get("positions", F.lit(0))), "doc_id")
