@@ -72,11 +72,19 @@ select l_orderkey as doc, cast(1 + l_partkey % 5 as int) as page, l_linenumber a
 from lineitem"""
 
 
-def register(spark: SparkSession, sf_dir: str, *tables: str) -> None:
+def read(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) -> DataFrame:
+    """A test table. With ``spread``, one in fewer files than there are cores is dealt out to all of them first:
+    a test table is one file of one row group, which is one task, and the work on a row may be long."""
+    x = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return x.repartition(cores) if spread and len(x.inputFiles()) < cores else x
+
+
+def register(spark: SparkSession, sf_dir: str, *tables: str, spread: bool = False) -> None:
     for t in tables:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        read(spark, sf_dir, t, spread).createOrReplaceTempView(t)
 
 
-def rows(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    register(spark, sf_dir, *tables)
+def rows(spark: SparkSession, sf_dir: str, sql: str, *tables: str, spread: bool = False) -> DataFrame:
+    register(spark, sf_dir, *tables, spread=spread)
     return spark.sql(sql)

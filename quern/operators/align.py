@@ -125,20 +125,21 @@ def cell_outcomes(truth: DataFrame, preds: DataFrame, matches: DataFrame, protoc
     penalises them. ``truth`` must hold every group that is scored, also those without predictions.
     """
     shared, by = [k for k in keys if k in truth.columns], [*keys, "protocol"]
-    said = lambda outcome: _code([F.when(~is_null(F.col(c)), OUTCOMES.index(outcome)).otherwise(0) for c in ALL_COLS]).alias("code")
+    said = lambda outcome: _code([F.when(~is_null(F.col(c)), OUTCOMES.index(outcome)).otherwise(0) for c in ALL_COLS])
     named = lambda own: F.explode(F.array(*[F.lit(q.name) for q in own])).alias("protocol")
-    none = F.lit(None).cast("bigint")
-    x = matches.select(*by, F.lit("gt").alias("side"), "gt_ord", "pred_ord", "code")
-    t = truth.select(*shared, "gt_ord", said("fn"))
+    t = truth.select(*shared, "gt_ord", said("fn").alias("t_code"))
     groups = [k for k in keys if k not in shared]
     if groups:  # runs of the grid: versions and repeats
         t = t.crossJoin(small_side(preds.select(*groups).distinct()))
-    t = t.select("*", named(protocols)).join(matches.select(*by, "gt_ord"), [*by, "gt_ord"], "left_anti")
-    x = x.unionByName(t.select(*by, F.lit("gt").alias("side"), "gt_ord", none.alias("pred_ord"), "code"))
+    # Matches are read once: truth rows meet them, and what predictions are left over comes out of the full join.
+    x = t.select("*", named(protocols)).join(matches.select(*by, "gt_ord", "pred_ord", "code"), [*by, "gt_ord"], "left")
+    x = x.select(*by, "gt_ord", "pred_ord", F.coalesce("code", "t_code").alias("code"))
     strict = [q for q in protocols if "surplus" in q]
     if strict:
-        p = preds.select(*keys, "pred_ord", said("fp_un"), named(strict)).join(matches.select(*by, "pred_ord"), [*by, "pred_ord"], "left_anti")
-        x = x.unionByName(p.select(*by, F.lit("pred").alias("side"), none.alias("gt_ord"), "pred_ord", "code"))
+        p = preds.select(*keys, "pred_ord", said("fp_un").alias("p_code"), named(strict))
+        x = x.join(p, [*by, "pred_ord"], "full")
+        x = x.withColumn("code", F.coalesce("code", "p_code"))
+    x = x.select(*by, F.when(F.col("gt_ord").isNull(), "pred").otherwise("gt").alias("side"), "gt_ord", "pred_ord", "code")
     digit = lambda i: F.shiftright("code", 3 * i).bitwiseAND(F.lit(7)).cast("int")
     cells = F.array(*[F.struct(F.lit(c).alias("column"), digit(i).alias("digit")) for i, c in enumerate(ALL_COLS)])
     x = x.select(*by, "side", "gt_ord", "pred_ord", F.explode(cells).alias("c"))

@@ -60,8 +60,9 @@ def tier_counts(edits: DataFrame) -> DataFrame:
 
 def line_verdicts(lines: DataFrame) -> DataFrame:
     """The damaged lines: kind, suspects, repaired."""
-    x = lines.withColumn("v", fx.classify_line(F.col("line"))).where("v is not null")
-    return x.select(*lines.columns, "v.kind", "v.suspects", "v.repaired")
+    # Exploded, a verdict is made once; as a column it would be made again for the filter and for each field.
+    found = F.filter(F.array(fx.classify_line(F.col("line"))), lambda v: v.isNotNull())
+    return lines.select(*lines.columns, F.explode(found).alias("v")).select(*lines.columns, "v.kind", "v.suspects", "v.repaired")
 
 
 def char_hits(verdicts: DataFrame) -> DataFrame:

@@ -53,6 +53,13 @@ def over_repeats(scores: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def report_lines(summary: DataFrame, by: str = "version") -> DataFrame:
+    """A line of text per row of ``over_repeats``: the numbers of a console report, without its layout."""
+    part = lambda name, c: F.concat(F.lit(name), F.coalesce(F.format_number(F.round(F.col(c), 3), 3), F.lit("-")))
+    line = F.concat_ws("  ", F.col(by), part("F1 ", "f1_mean"), part("sd ", "f1_sd"), part("P ", "p_mean"), part("R ", "r_mean"), F.concat(F.lit("n "), F.col("n_reps").cast("string")))
+    return summary.select(by, line.alias("line"))
+
+
 def per_paper_pivot(scores: DataFrame, versions: list[str]) -> DataFrame:
     return scores.groupBy("paper").pivot("version", versions).agg(F.avg("f1"))
 

@@ -225,7 +225,7 @@ KINDS = f"""select l_orderkey, l_linenumber,
     from (select {oracle.quantity('pred', None)} as p, {oracle.quantity('truth', None)} as t from ({KINDS}))) group by all"""
 )
 def tolerance_kinds(spark, sf_dir):
-    x = rows(spark, sf_dir, KINDS, "lineitem").select(units.parse_quantity(F.col("pred")).alias("p"), units.parse_quantity(F.col("truth")).alias("t"))
+    x = rows(spark, sf_dir, KINDS, "lineitem", spread=True).select(units.parse_quantity(F.col("pred")).alias("p"), units.parse_quantity(F.col("truth")).alias("t"))
     kind = lambda m, t: units.quantity_kind(F.col("p"), F.col("t"), F.lit(m), F.lit(t))
     return x.select(kind("abs", 2.0).alias("kind_abs"), kind("rel", 0.05).alias("kind_rel")).groupBy("kind_abs", "kind_rel").agg(F.count("*").alias("n"))
 
@@ -283,7 +283,7 @@ def reply_forms(spark, sf_dir):
     where not failed or form is not null"""
 )
 def first_success(spark, sf_dir):
-    x = ingest.usable_attempts(rows(spark, sf_dir, REPLIES, "events"), ["slug", "version", "rep", "label"])
+    x = ingest.usable_attempts(rows(spark, sf_dir, REPLIES, "events", spread=True), ["slug", "version", "rep", "label"])
     return x.select("slug", "version", "rep", "label", "form")
 
 
@@ -313,7 +313,7 @@ from events where event_id % 6 <> 3 and event_id % 12 <> 5"""
 )
 def rebuild_records(spark, sf_dir):
     """Replies to harmonised rows without exact repeats, in the order of their files."""
-    x = rebuilding.rebuild(rows(spark, sf_dir, REPLIES, "events"))
+    x = rebuilding.rebuild(rows(spark, sf_dir, REPLIES, "events", spread=True))
     return x.select("slug", "version", "rep", "pred_ord", "catalyst", "temperature_K", "GHSV_h", "conversion_pct", "gas_mix", "pressure", "loading_g")
 
 
@@ -406,7 +406,7 @@ def merge_totals(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    return rows(spark, sf_dir, LINES, "lineitem")
+    return rows(spark, sf_dir, LINES, "lineitem", spread=True)
 
 
 TOKENS = f"select l_orderkey, l_linenumber, l_partkey, translate({inputs.text('l_partkey')} || '.' || {inputs.text('l_suppkey % 10')}, '01586', 'OlSBG') as token, '0' || {inputs.text('l_suppkey')} as zero from lineitem"
@@ -458,7 +458,7 @@ def char_hits(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    x = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
+    x = inputs.read(spark, sf_dir, "documents", spread=True).where("doc_id is not null")
     return x.select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text")
 
 

@@ -52,6 +52,21 @@ def text_scores(spark, sf_dir):
     return _rounded(x.join(cat, "version").select("version", "fn_fig", "r_text", "f1_text", "catalyst_f1"), "r_text", "f1_text", "catalyst_f1")
 
 
+_SHOWN = lambda x: f"coalesce(printf('%.3f', round({x}, 3)), '-')"
+
+
+@query(
+    oracle.scoring(
+        [STRICT],
+        f"""select version, version || '  F1 ' || {_SHOWN('avg(f1)')} || '  sd ' || {_SHOWN('coalesce(stddev_samp(f1), 0)')} || '  P ' || {_SHOWN('avg(p)')} || '  R ' || {_SHOWN('avg(r)')} || '  n ' || count(*) as line
+        from (select version, rep, {oracle.P} as p, {oracle.R} as r, {oracle.F1} as f1 from cells group by version, rep) group by version""",
+    )
+)
+def score_report(spark, sf_dir):
+    """The lines of a score report."""
+    return metrics.report_lines(scoring.score_run(*_records(spark, sf_dir), [STRICT])["summary"])
+
+
 SOME = f"select * from ({PREDS}) where pred_ord % 3 = 0"
 PRESENT = f"select * from ({TRUTH}) where paper in (select paper from ({SOME}))"
 
