@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, staged
+from .common import bounded_broadcast, drop, staged
 from .graph import components
 
 SKETCH = 512  # one-bit minima of a text, eight words of 64
@@ -393,10 +393,12 @@ def near_duplicates(
     some = texts.withColumn("key", F.coalesce("key", F.lit(""))).join(bounded_broadcast(few.select(F.col("c_key").alias("key")), 200_000), "key", "left_semi")
     some = some.select("key", _sketch_rows(size)(F.col("text")).alias("s")).select("key", "s.*")
     some = some.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"))
-    few = staged(few.join(some, F.col("c_key") == F.col("key")).select("node", "fp", "sketch", "shingles"), "sketches")
+    candidates, few = few, staged(few.join(some, F.col("c_key") == F.col("key")).select("node", "fp", "sketch", "shingles"), "sketches")
+    drop(candidates)
 
     blocked = x.join(few.select("node", "fp", "sketch"), "node")
     found = staged(links(blocked, radius, similarity), "links")
+    drop(x)
     sure = found.where("not open").select("a", "b")
     tied = staged(components(sure), "sure-components")
     # Open pairs: their rows meet again by group, with the sets, where classes still differ.
@@ -409,6 +411,7 @@ def near_duplicates(
     left = left.join(few, "node").repartition(wide, "key").sortWithinPartitions("key")
     more = left.mapInPandas(_link_rows(radius, similarity), "a long, b long, open boolean").where("not open").select("a", "b")
     more = staged(more.unionByName(tied.select(F.col("node").alias("a"), F.col("root").alias("b"))), "verified")
+    drop(few, found)
     tied = staged(components(more), "components")
     return sig.select("key", "node").join(tied, "node", "left").select("key", F.coalesce("root", "node").alias("group"))
 
