@@ -166,7 +166,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: Column, sample_rows
     lab = lab.orderBy(F.xxhash64("l_id"), "l_id").limit(sample_rows)
     d = docs.select("doc_id", F.col("text").alias("t_text"))
     x = d.join(F.broadcast(lab), F.col("doc_id") == F.col("l_id"))  # at most sample_rows rows
-    x = x.select("doc_id", "t_label", "t_text").dropDuplicates(["doc_id"]).drop("doc_id")
+    # Of a repeated id the least text is taken, so reruns agree.
+    x = x.groupBy("doc_id").agg(F.max("t_label").alias("t_label"), F.min("t_text").alias("t_text")).drop("doc_id")
     got = x.mapInPandas(_feature_rows, "t_label int, t_words binary").toPandas()
     order = sorted(range(len(got)), key=lambda i: bytes(got["t_words"][i]))  # sums don't depend on arrival
     y = got["t_label"].to_numpy(dtype=np.int64)[order]
