@@ -47,4 +47,33 @@ u as (
 select page_id, host, path, rule, coalesce(v, 'allow') as verdict from j where k = 1
 """
 
-ORACLE = {"op2_decontamination": OP2, "op10_url_filter": OP10}
+# Every window of 400 bytes of every text, as hexadecimal digits, counted; those that occur twice cover what goes.
+OP3 = """
+with d as materialized (select row_number() over () as uid, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select uid, i, md5(substr(h, 2 * i - 1, 800)) as m from (select uid, h, unnest(generate_series(1, length(h) // 2 - 399)) as i from d where length(h) >= 800)),
+hit as (select uid, i from w semi join (select m from w group by m having count(*) > 1) using (m)),
+edge as (select uid, i, case when i <= lag(i) over (partition by uid order by i) + 400 then 0 else 1 end as new from hit),
+run as (select uid, i, sum(new) over (partition by uid order by i) as g from edge),
+span as (select uid, min(i) as a, max(i) + 399 as z from run group by uid, g),
+gap as (select uid, a, z, lag(z, 1, 0) over (partition by uid order by a) as p from span),
+cut as (select uid, sum(z - a + 1) as n, count(*) as spans, max(z) as last, string_agg(substr(h, 2 * p + 1, 2 * (a - 1 - p)), '' order by a) as kept from gap join d using (uid) group by uid)
+select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join cut using (uid)
+"""
+
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || substr(sha, 1 + 5 * (k // 4), 5))::int >> (15 - 5 * (k % 4))) & 31)::int]), '')"
+_ESCAPED = r"""array_to_string(list_transform(string_split({0}, ''), lambda c: case when regexp_matches(c, '[A-Za-z0-9%/?&=+,):;@!$''(*~.\-_]') then c else regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') end), '')"""
+OP5 = f"""
+with p as materialized (select page_id, url, coalesce(html, '') as t, sha1(coalesce(html, '')) as sha, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else url end as rest from pages),
+f as (select t, min(page_id) as first from p group by t having count(*) > 1 and min(page_id) is not null)
+select page_id, cast(strlen(t) as bigint) as payload_bytes, {_BASE32} as payload_digest,
+       case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+       case when page_id is distinct from first then first end as refers_to,
+       case when coalesce(url, '') = '' then '-' else
+         {_ESCAPED.format("array_to_string(list_reverse(string_split(lower(regexp_extract(rest, '^([^/?#]*)', 1)), '.')), ',') || ')' || regexp_extract(rest, '^[^/?#]*([^#]*)', 1)")} end as urlkey,
+       strftime(timestamp '2024-01-01' + to_seconds(coalesce(page_id, 0) % 1000000000), '%Y%m%d%H%M%S') as timestamp
+from p left join f using (t)
+"""
+
+ORACLE = {"op2_decontamination": OP2, "op3_suffix_dedup": OP3, "op5_warc": OP5, "op10_url_filter": OP10}
