@@ -78,14 +78,11 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
-def skew_join(x: DataFrame, y: DataFrame, on: list[str], how: str = "inner", counted: str | None = None, parts: int = 64, shares: int = 100_000, small_rows: int = 200_000, least: int = 10_000) -> DataFrame:
-    """``x`` joined with ``y`` (staged, narrow) on the columns ``on`` of both. ``y`` is broadcast if it has at most
-    ``small_rows`` rows, which is counted. Else keys with over ``least`` rows and over 1 / ``shares`` of ``x`` (so
-    ``shares`` keys at most, which are broadcast) are dealt to ``parts`` tasks by the rest of the row, and their rows
-    of ``y``, of which there should be few, go to each. ``counted``: a column of ``y`` that has the rows of ``x`` by key
-    already; it is dropped."""
-    if small(y, small_rows):
-        return x.join(F.broadcast(y.drop(counted) if counted else y), on, how)
+def skew_join(x: DataFrame, y: DataFrame, on: list[str], how: str = "inner", counted: str | None = None, parts: int = 64, shares: int = 100_000, least: int = 10_000) -> DataFrame:
+    """``x`` joined with ``y`` on the columns ``on`` of both. Keys with over ``least`` rows and over 1 / ``shares`` of
+    ``x`` (so ``shares`` keys at most, which are broadcast) are dealt to ``parts`` tasks by the rest of the row, and
+    their rows of ``y``, of which there should be few, go to each. ``counted``: a column of ``y`` that has the rows of
+    ``x`` by key already; it is dropped."""
     least = max(least, x.count() // shares)
     n = y.select(*on, F.col(counted).alias("j_n")) if counted else x.groupBy(*on).agg(F.count("*").alias("j_n"))
     hot = staged(n.where(F.col("j_n") > least).select(*on, F.lit(True).alias("j_hot")), "hot")

@@ -13,10 +13,10 @@ def test_skew_join(spark, how):
     x = spark.createDataFrame(x, "k string, v int")
     y = spark.createDataFrame([("hot", 401, "a"), ("k1", 9, "b"), ("k2", 9, "c"), ("none", 0, "d"), (None, 1, "e")], "k string, n long, w string")
     want = rows(x.join(y.drop("n"), "k", how))
-    for options in ({}, {"small_rows": 0, "least": 100, "shares": 10}, {"small_rows": 0, "least": 100, "counted": "n"}, {"small_rows": 0}):
+    for options in ({}, {"least": 100, "shares": 10}, {"least": 100, "counted": "n"}):
         right = y if "counted" in options else y.drop("n")
         assert rows(common.skew_join(x, right, ["k"], how, **options)) == want
-    two = common.skew_join(x.selectExpr("k", "v % 2 as p", "v"), y.selectExpr("k", "1 as p", "w"), ["k", "p"], small_rows=0, least=50, shares=10)
+    two = common.skew_join(x.selectExpr("k", "v % 2 as p", "v"), y.selectExpr("k", "1 as p", "w"), ["k", "p"], least=50, shares=10)
     assert two.count() == 201 + sum(1 for i in range(60) if i % 7 in (1, 2) and i % 2)
 
 
