@@ -1,145 +1,94 @@
 """One-to-one alignment of predicted rows with truth rows, greedy in truth order.
 
 Truth row by truth row takes the free prediction with the highest overlap (the first of equals) if
-it reaches the floor. Pairs are formed by an equi-join on the group, scores gathered to a matrix per
-group, and the choice is a fold over it: one ``aggregate``, no loop on the driver. A group is a
-document of one run, so a matrix is small; ``greedy_large`` takes the fold out of the row for
-groups of very many pairs.
+it reaches the floor. Rows of both sides are exchanged once, by the keys that they share, and sorted; pairs
+are formed, scored and chosen from in blocks (``pairing``), so they are never rows of a plan unless asked for.
 
-A pair carries a ``code``, three bits a column, that says what became of each of its cells, so cells
-are parsed once and after the choice only keys and codes move.
+A row that comes out carries a ``code``, three bits a column, that says what became of each of its cells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from ..functions.text import is_null
 from ..schema import ALL_COLS, Protocol
-from . import compare
-from .tables import small_side
+from . import pairing
 
 # What a cell's three bits stand for; 0 is a cell that neither side fills.
-OUTCOMES = (None, "exact", "range", "miss", "fp", "fn", "fn_fig", "fp_un")
+OUTCOMES = pairing.OUTCOMES
+
+
+def _sorted_sides(truth: DataFrame, preds: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], list[str], list[tuple]]:
+    """Rows of both sides by their shared keys, truth rows first; those keys, the others, and the runs of the grid
+    (versions and repeats), which are collected."""
+    shared = [k for k in keys if k in truth.columns and k in preds.columns]
+    groups = [k for k in keys if k not in shared]
+    own = [F.col(c).cast("string").alias(c) for c in ALL_COLS if c not in shared]
+    hidden = F.lit(0)
+    if "_text_recoverable" in preds.columns:
+        for i, c in enumerate(ALL_COLS):
+            hidden = hidden + F.when(F.try_element_at("_text_recoverable", F.lit(c)) == F.lit(False), 1 << i).otherwise(0)
+    absent = [F.lit(None).cast(preds.schema[k].dataType).alias(k) for k in groups]
+    t = truth.select(*shared, *absent, F.lit(0).alias("side"), F.col("gt_ord").cast("bigint").alias("ord"), *own, F.lit(0).alias("hidden"))
+    p = preds.select(*keys, F.lit(1).alias("side"), F.col("pred_ord").cast("bigint").alias("ord"), *own, hidden.alias("hidden"))
+    x = t.unionByName(p).repartition(*shared).sortWithinPartitions(*shared, "side", *groups, "ord")
+    runs = [tuple(r) for r in preds.select(*groups).distinct().collect()] if groups else [()]
+    return x, shared, groups, runs
 
 
-def _code(digits: list[Column]) -> Column:
-    return reduce(lambda x, y: x + y, [F.shiftleft(d.cast("long"), 3 * i) for i, d in enumerate(digits)])
+def _schema(x: DataFrame, keys: list[str], *more: tuple) -> StructType:
+    return StructType([*[StructField(k, x.schema[k].dataType) for k in keys], *[StructField(n, t) for n, t in more]])
 
 
-def score_pairs(truth: DataFrame, preds: DataFrame, protocols: list[Protocol], keys: list[str]) -> DataFrame:
-    """keys, protocol, floor, gt_ord, pred_ord, score, code; a gated pair has score -1.
+def score_pairs(truth: DataFrame, preds: DataFrame, protocols: list[Protocol], keys: list[str], codes: bool = True) -> DataFrame:
+    """keys, protocol, floor, gt_ord, pred_ord, score, and code if wanted; a gated pair has score -1.
 
     ``truth`` and ``preds`` hold the ``keys`` they share, gt_ord or pred_ord, and the columns; ``preds``
     may have a _text_recoverable map. Pairs are formed once. What a protocol says of a cell depends on
     few of its rules, so protocols share those comparisons.
     """
-    shared = [k for k in keys if k in truth.columns and k in preds.columns]
-    # Rows move while they are short; cells are parsed where the pairs will be formed.
-    truth, preds = truth.repartition(*shared), preds.repartition(*shared)
-    shown = F.col("_text_recoverable") if "_text_recoverable" in preds.columns else F.lit(None).cast("map<string,boolean>")
-    t = compare.prepare_cells(truth, protocols, "t").select(*[F.col(k).alias(f"t_{k}") for k in shared], "gt_ord", "t")
-    p = compare.prepare_cells(preds, protocols, "p").select(*keys, "pred_ord", "p", shown.alias("shown"))
-    x = p.join(t, reduce(lambda x, y: x & y, [F.col(k) == F.col(f"t_{k}") for k in shared]))
-    a, b = F.col("p"), F.col("t")
-    made: dict[str, Column] = {}
-    for i, c in enumerate(ALL_COLS):
-        missed = F.when(F.coalesce(F.try_element_at("shown", F.lit(c)), F.lit(True)), OUTCOMES.index("fn")).otherwise(OUTCOMES.index("fn_fig"))
-        made[f"s_{i}"] = F.when(~a[c]["null"] & ~b[c]["null"], -1).when(a[c]["null"] & b[c]["null"], 0).when(b[c]["null"], OUTCOMES.index("fp")).otherwise(missed)
-        for q in protocols:
-            made.setdefault(f"k_{i}_{compare.variant(q, c)}", compare.cell_kind(a[c], b[c], c, q))
-            if c == "catalyst" and "composition_cells" in q:
-                made.setdefault(f"k_{i}_composed", compare.cell_kind(a[c], b[c], c, q, composed=True))
-    if any("composition_gate" in q for q in protocols):
-        made["gate"] = compare.gate(a, b)
-    x = x.select(*keys, "gt_ord", "pred_ord", *[v.alias(k) for k, v in made.items()])
-    rows = []
-    for q in protocols:
-        kind = lambda i, c: F.col(f"k_{i}_{compare.variant(q, c)}")  # noqa: B023, E731
-        agree = lambda i, c: (kind(i, c) != compare.MISS) & ((F.col(f"s_{i}") == -1) if q.floor else F.lit(True))  # noqa: B023, E731
-        score = reduce(lambda x, y: x + y, [agree(i, c).cast("int") for i, c in enumerate(ALL_COLS) if c != "paper" or (not q.floor and c in q.compared)])
-        if "composition_gate" in q:
-            score = F.when(F.col("gate"), score).otherwise(-1)
-        own = [F.col(f"k_{i}_composed") if c == "catalyst" and "composition_cells" in q else kind(i, c) for i, c in enumerate(ALL_COLS)]
-        code = _code([F.when(F.col(f"s_{i}") == -1, k).otherwise(F.col(f"s_{i}")) for i, k in enumerate(own)])
-        rows.append(F.struct(F.lit(q.name).alias("protocol"), F.lit(q.floor).alias("floor"), score.alias("score"), code.alias("code")))
-    x = x.select(*keys, "gt_ord", "pred_ord", F.explode(F.array(*rows)).alias("s"))
-    return x.select(*keys, "s.protocol", "s.floor", "gt_ord", "pred_ord", "s.score", "s.code")
-
-
-def greedy(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    x, shared, groups, runs = _sorted_sides(truth, preds, keys)
+    by = [*shared, *groups]
+    fields = ["pred_ord bigint", "score int"] + (["code bigint"] if codes else [])
+    pairs = StructType.fromDDL(f"s array<struct<{', '.join(f.replace(' ', ': ') for f in fields)}>>")["s"].dataType
+    schema = _schema(x, by, ("protocol", StringType()), ("floor", IntegerType()), ("gt_ord", LongType()), ("s", pairs))
+    x = x.mapInArrow(pairing.scored(protocols, shared, groups, runs, codes), schema)
+    x = x.select(*by, "protocol", "floor", "gt_ord", F.explode("s").alias("s"))
+    return x.select(*keys, "protocol", "floor", "gt_ord", *[f"s.{f.split()[0]}" for f in fields])
+
+
+def greedy(
+    truth: DataFrame, preds: DataFrame, protocols: list[Protocol], keys: list[str], present: bool = False, texts: bool = False, block: int = pairing.BLOCK
+) -> DataFrame:
+    """A row for each truth row in each run, with the prediction that it is paired with or none, and for
+    each surplus prediction where the protocol penalises them: keys, protocol, side (gt or pred), gt_ord, pred_ord, code.
+
+    ``truth`` must hold every group that is scored, also those without predictions; with ``present`` these are
+    passed over. With ``texts`` the cells of both rows come along, as t__ and p__ columns. ``block`` bounds the pairs held.
+    """
+    x, shared, groups, runs = _sorted_sides(truth, preds, keys)
+    by = [*shared, *groups]
+    more = [("protocol", StringType()), ("side", StringType()), ("gt_ord", LongType()), ("pred_ord", LongType()), ("code", LongType())]
+    more += [(f"{s}__{c}", StringType()) for s in "tp" for c in ALL_COLS] if texts else []
+    return x.mapInArrow(pairing.outcomes(protocols, shared, groups, runs, present, texts, block), _schema(x, by, *more))
+
+
+def greedy_large(truth: DataFrame, preds: DataFrame, protocols: list[Protocol], keys: list[str], **kw) -> DataFrame:
+    """As ``greedy`` for groups of very many pairs: fewer are held at once, a group's truth rows come in parts."""
+    return greedy(truth, preds, protocols, keys, block=pairing.BLOCK // 4, **kw)
+
+
+def matches(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, protocol, gt_ord, pred_ord, code of the rows that were paired."""
+    return rows.where("side = 'gt' and pred_ord is not null").select(*keys, "protocol", "gt_ord", "pred_ord", "code")
+
+
+def cell_outcomes(x: DataFrame, protocols: list[Protocol], keys: list[str]) -> DataFrame:
+    """One row per scored cell of the rows of ``greedy``: keys, protocol, side (gt or pred), gt_ord, pred_ord, column
+    and the counts tp, tp_rng, fp, fp_un, fn, fn_fig."""
     by = [*keys, "protocol"]
-    rows = pairs.groupBy(*by, "gt_ord").agg(
-        F.sort_array(F.collect_list(F.struct("pred_ord", "score", "code"))).alias("cells"), F.first("floor").alias("floor")
-    )
-    m = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("gt_ord", "cells"))).alias("m"), F.first("floor").alias("floor"))
-
-    def choose(used: Column, row: Column) -> Column:
-        free = F.filter(row["cells"], lambda c: (c["score"] >= F.col("floor")) & ~F.array_contains(used, c["pred_ord"]))
-        best = F.get(F.array_sort(F.transform(free, lambda c: F.struct((-c["score"]).alias("s"), c["pred_ord"].alias("p")))), F.lit(0))
-        return F.concat(used, F.array(F.coalesce(best["p"], F.lit(-1).cast("bigint"))))
-
-    chosen = F.aggregate("m", F.array().cast("array<bigint>"), choose)
-    own = lambda r, p: F.get(F.filter(r["cells"], lambda c: c["pred_ord"] == p), F.lit(0))["code"]
-    pairs_of = F.zip_with("m", chosen, lambda r, p: F.struct(r["gt_ord"].alias("gt_ord"), p.alias("pred_ord"), own(r, p).alias("code")))
-    out = m.select(*by, F.explode(F.filter(pairs_of, lambda x: x["pred_ord"] >= 0)).alias("x"))
-    return out.select(*by, "x.gt_ord", "x.pred_ord", "x.code")
-
-
-def greedy_large(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """As ``greedy`` for groups whose matrix is too large for a row: pairs stream, ordered by truth
-    row, through a task that holds only the set of predictions taken."""
-    by = [*keys, "protocol"]
-    ordered = pairs.where("score >= floor").repartition(*by)
-    ordered = ordered.sortWithinPartitions(*by, "gt_ord", F.desc("score"), "pred_ord").select(*by, "gt_ord", "pred_ord", "code")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, used, done = None, set(), None
-        for b in batches:
-            keep = []
-            for i, row in enumerate(b.itertuples(index=False, name=None)):
-                key, (gt, pred, _) = row[:-3], row[-3:]
-                if key != group:
-                    group, used, done = key, set(), None
-                if gt != done and pred not in used:
-                    used.add(pred)
-                    done = gt
-                    keep.append(i)
-            yield b.iloc[keep]
-
-    return ordered.mapInPandas(run, schema)
-
-
-def cell_outcomes(truth: DataFrame, preds: DataFrame, matches: DataFrame, protocols: list[Protocol], keys: list[str]) -> DataFrame:
-    """One row per scored cell: keys, protocol, side (gt or pred), gt_ord, pred_ord, column and the
-    counts tp, tp_rng, fp, fp_un, fn, fn_fig. ``matches`` carry the codes of their pairs.
-
-    Truth rows without partner give misses; surplus predictions false positives where the protocol
-    penalises them. ``truth`` must hold every group that is scored, also those without predictions.
-    """
-    shared, by = [k for k in keys if k in truth.columns], [*keys, "protocol"]
-    said = lambda outcome: _code([F.when(~is_null(F.col(c)), OUTCOMES.index(outcome)).otherwise(0) for c in ALL_COLS])
-    named = lambda own: F.explode(F.array(*[F.lit(q.name) for q in own])).alias("protocol")
-    t = truth.select(*shared, "gt_ord", said("fn").alias("t_code"))
-    groups = [k for k in keys if k not in shared]
-    if groups:  # runs of the grid: versions and repeats
-        t = t.crossJoin(small_side(preds.select(*groups).distinct()))
-    # Matches are read once: truth rows meet them, and what predictions are left over comes out of the full join.
-    x = t.select("*", named(protocols)).join(matches.select(*by, "gt_ord", "pred_ord", "code"), [*by, "gt_ord"], "left")
-    x = x.select(*by, "gt_ord", "pred_ord", F.coalesce("code", "t_code").alias("code"))
-    strict = [q for q in protocols if "surplus" in q]
-    if strict:
-        p = preds.select(*keys, "pred_ord", said("fp_un").alias("p_code"), named(strict))
-        x = x.join(p, [*by, "pred_ord"], "full")
-        x = x.withColumn("code", F.coalesce("code", "p_code"))
-    x = x.select(*by, F.when(F.col("gt_ord").isNull(), "pred").otherwise("gt").alias("side"), "gt_ord", "pred_ord", "code")
     digit = lambda i: F.shiftright("code", 3 * i).bitwiseAND(F.lit(7)).cast("int")
     cells = F.array(*[F.struct(F.lit(c).alias("column"), digit(i).alias("digit")) for i, c in enumerate(ALL_COLS)])
     x = x.select(*by, "side", "gt_ord", "pred_ord", F.explode(cells).alias("c"))
@@ -158,23 +107,19 @@ def cell_outcomes(truth: DataFrame, preds: DataFrame, matches: DataFrame, protoc
     ).drop("digit")
 
 
-def side_by_side(truth: DataFrame, preds: DataFrame, matches: DataFrame, protocols: list[Protocol], keys: list[str]) -> DataFrame:
+def side_by_side(x: DataFrame, protocols: list[Protocol], keys: list[str], texts: bool = True) -> DataFrame:
     """Per cell of each truth row: truth, prediction and a mark; then the surplus predictions with
-    their number of filled cells (column null)."""
-    cells = cell_outcomes(truth, preds, matches, protocols, keys)
-    shared = [k for k in keys if k in truth.columns]
-    long_t = truth.select(*shared, "gt_ord", F.explode(_cells_of()).alias("v")).select(*shared, "gt_ord", "v.column", F.col("v.value").alias("truth"))
-    long_p = preds.select(*keys, "pred_ord", F.explode(_cells_of()).alias("v")).select(*keys, "pred_ord", "v.column", F.col("v.value").alias("pred"))
-    own = cells.where("side = 'gt'").join(long_t, [*shared, "gt_ord", "column"], "left").join(long_p, [*keys, "pred_ord", "column"], "left")
-    mark = F.when(F.col("outcome") == "exact", F.lit("✓")).when(F.col("outcome") == "range", F.lit("≈")).when(F.col("outcome").isNotNull(), F.lit("✗"))
-    own = own.select(*keys, "protocol", "gt_ord", "pred_ord", "column", "truth", "pred", mark.alias("mark"), F.lit(None).cast("long").alias("n_filled"))
-    extra = cells.where("side = 'pred'").groupBy(*keys, "protocol", "pred_ord").agg(F.count_if(F.col("outcome").isNotNull()).alias("n_filled"))
-    null = lambda t: F.lit(None).cast(t)
-    extra = extra.select(
-        *keys, "protocol", null("bigint").alias("gt_ord"), "pred_ord", null("string").alias("column"), null("string").alias("truth"), null("string").alias("pred"), null("string").alias("mark"), "n_filled"
-    )
-    return own.unionByName(extra)
-
-
-def _cells_of() -> Column:
-    return F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in ALL_COLS])
+    their number of filled cells (column null). ``x`` are rows of ``greedy``, with their texts where these are wanted."""
+    by = [*keys, "protocol"]
+    paper = [q.name for q in protocols if "no_paper" not in q]
+    digit = lambda i: F.shiftright("code", 3 * i).bitwiseAND(F.lit(7)).cast("int")
+    scored = lambda c: F.lit(True) if c != "paper" else F.col("protocol").isin(*paper) if paper else F.lit(False)
+    marks = F.array(*[F.lit({None: None, "exact": "✓", "range": "≈"}.get(o, "✗")) for o in OUTCOMES])
+    cell = lambda c: [F.lit(c).alias("column"), *[F.col(f"{s}__{c}").alias(n) for s, n in (("t", "truth"), ("p", "pred")) if texts], F.get(marks, digit(ALL_COLS.index(c))).alias("mark"), scored(c).alias("scored")]
+    own = x.where("side = 'gt'").select(*by, "gt_ord", "pred_ord", F.explode(F.array(*[F.struct(*cell(c)) for c in ALL_COLS])).alias("c")).where("c.scored")
+    shown = ["column", *(["truth", "pred"] if texts else []), "mark"]
+    own = own.select(*by, "gt_ord", "pred_ord", *[f"c.{c}" for c in shown], F.lit(None).cast("long").alias("n_filled"))
+    filled = sum(F.when((digit(i) != 0) & scored(c), 1).otherwise(0) for i, c in enumerate(ALL_COLS))
+    extra = x.where("side = 'pred'").groupBy(*by, "pred_ord").agg(F.sum(filled).alias("n_filled"))
+    null = lambda c, t: F.lit(None).cast(t).alias(c)
+    return own.unionByName(extra.select(*by, null("gt_ord", "bigint"), "pred_ord", *[null(c, "string") for c in shown], "n_filled"))

@@ -31,10 +31,22 @@ def pooled(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells.groupBy(*by).agg(*sums())
 
 
+def with_catalyst(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Pooled counts and scores, beside the f1 of the column catalyst; the cells are read once."""
+    x = pooled(cells, [*by, "column"])
+    named = F.col("column") == "catalyst"
+    x = x.groupBy(*by).agg(*sums(), *[F.coalesce(F.sum(F.when(named, F.col(c))), F.lit(0)).cast("long").alias(f"c_{c}") for c in ("tp", "fp", "fn")], F.max(named).alias("c_any"))
+    p, r = (F.try_divide(F.col("c_tp"), F.col("c_tp") + F.col(f"c_{c}")) for c in ("fp", "fn"))
+    x = x.withColumn("catalyst_f1", F.when(F.col("c_any"), f1_of(p, r)))
+    return with_prf(x.drop("c_tp", "c_fp", "c_fn", "c_any"))
+
+
 def grouping_sets(cells: DataFrame, fixed: list[str], inner: tuple[str, str] = ("paper", "column")) -> DataFrame:
     """Counts per (paper, column), per column, per paper, and in all, in one pass; ``level`` says
     which. Rolled-up keys are null."""
     a, b = inner
+    # The finest sums first: cells are counted once, not once a set.
+    cells = pooled(cells, [*fixed, a, b])
     x = cells.groupingSets([[*fixed, a, b], [*fixed, b], [*fixed, a], [*fixed]], *fixed, a, b)
     out = x.agg(*sums(), F.grouping(a).alias("g_a"), F.grouping(b).alias("g_b"))
     level = F.when((F.col("g_a") == 0) & (F.col("g_b") == 0), F.lit(f"{a},{b}")).when(F.col("g_b") == 0, F.lit(b)).when(F.col("g_a") == 0, F.lit(a)).otherwise(F.lit("all"))

@@ -14,24 +14,24 @@ KEYS = ["paper", "version", "rep"]
 
 
 def score_run(
-    truth: DataFrame, preds: DataFrame, protocols: list[Protocol] | None = None, keys: list[str] | None = None, match: Callable = align.greedy
+    truth: DataFrame, preds: DataFrame, protocols: list[Protocol] | None = None, keys: list[str] | None = None, match: Callable = align.greedy, **kw
 ) -> dict[str, DataFrame]:
     """``truth``: paper, gt_ord and the columns; ``preds``: the ``keys``, pred_ord and the columns.
 
     All protocols are scored in one plan. A paper without predictions in a run is scored, as misses.
-    Gives cells, columns (pooled per column), scores (pooled per run) and summary (over repeats).
+    Gives rows, matches, cells, columns (pooled per column), scores (pooled per run) and summary (over repeats).
     """
     keys = keys or KEYS
     table = protocols or [Protocol()]
-    pairs = align.score_pairs(truth, preds, table, keys)
-    matches = match(pairs, keys)
-    cells = align.cell_outcomes(truth, preds, matches, table, keys)
+    rows = match(truth, preds, table, keys, **kw)
+    cells = align.cell_outcomes(rows, table, keys)
     run = [k for k in keys if k != "paper"]
     fixed = ["protocol", *run]
     scores = metrics.with_prf(metrics.pooled(cells, fixed))
     by = ["protocol", *[k for k in run if k != "rep"]]
     return {
-        "matches": matches,
+        "rows": rows,
+        "matches": align.matches(rows, keys),
         "cells": cells,
         "columns": metrics.with_prf(metrics.pooled(cells, [*fixed, "column"])),
         "papers": metrics.with_prf(metrics.pooled(cells, [*fixed, "paper"])),
@@ -42,7 +42,7 @@ def score_run(
 
 def score_present(truth: DataFrame, preds: DataFrame, **kw) -> dict[str, DataFrame]:
     """As ``score_run`` over papers that have predictions only."""
-    return score_run(truth.join(preds.select("paper").distinct(), "paper", "left_semi"), preds, **kw)
+    return score_run(truth, preds, present=True, **kw)
 
 
 def with_version(rows: DataFrame, version: str, rep: int = 1) -> DataFrame:
@@ -55,7 +55,5 @@ def audit(truth: DataFrame, preds: DataFrame, protocols: list[Protocol], keys: l
     step before and the first. Configurations share one scan and one job."""
     out = score_run(truth, preds, protocols, keys)
     table = protocol_table(truth.sparkSession, protocols).select("protocol", "step")
-    all_ = metrics.with_prf(metrics.pooled(out["cells"], ["protocol"]))
-    cat = metrics.with_prf(metrics.pooled(out["cells"].where("column = 'catalyst'"), ["protocol"])).select("protocol", F.col("f1").alias("catalyst_f1"))
-    x = all_.join(cat, "protocol", "left").join(F.broadcast(table), "protocol")
+    x = metrics.with_catalyst(out["cells"], ["protocol"]).join(F.broadcast(table), "protocol")
     return metrics.with_deltas(metrics.with_deltas(x, "step"), "step", value="f1_text")

@@ -138,7 +138,7 @@ def greedy_alignment_streamed(spark, sf_dir):
 @query(oracle.scoring([STRICT], "select paper, version, rep, gt_ord, pred_ord, score from pairs"))
 def pair_scores(spark, sf_dir):
     truth, preds = _records(spark, sf_dir)
-    x = align.score_pairs(truth, preds, [STRICT], scoring.KEYS)
+    x = align.score_pairs(truth, preds, [STRICT], scoring.KEYS, codes=False)
     return x.select("paper", "version", "rep", "gt_ord", "pred_ord", "score")
 
 
@@ -167,8 +167,7 @@ def row_counts(spark, sf_dir):
 )
 def side_by_side(spark, sf_dir):
     truth, preds = _records(spark, sf_dir)
-    matches = scoring.score_run(truth, preds, [STRICT])["matches"]
-    x = align.side_by_side(truth, preds, matches, [STRICT], scoring.KEYS)
+    x = align.side_by_side(scoring.score_run(truth, preds, [STRICT])["rows"], [STRICT], scoring.KEYS, texts=False)
     return x.select("paper", "version", "rep", "gt_ord", "pred_ord", "column", "mark", "n_filled")
 
 
