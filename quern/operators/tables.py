@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
+from ..sources import files
 
 
 def slug(paper: Column) -> Column:
@@ -43,11 +44,25 @@ def top_n(df: DataFrame, by: list[str], order: list[Column | str], n: int) -> Da
 
 
 def systematic_sample(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
-    """Every k-th row of each group, k = rows div n (at least 1), ``n`` rows at most."""
-    w = Window.partitionBy(*by)
-    x = df.withColumns({"s_i": F.row_number().over(w.orderBy(*order)) - 1, "s_n": F.count("*").over(w)})
+    """Every k-th row of each group, k = rows div n (at least 1), ``n`` rows at most.
+
+    Groups may be few and very large, so none is held by one task: rows are sorted over all tasks and kept with
+    their place, and a group's places before a task's first row are counted by task."""
+    spark, path = df.sparkSession, files.scratch(df.sparkSession, "sorted")
+    # Written, so that both readings meet the same places.
+    x = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("s_z", F.monotonically_increasing_id())
+    x.write.parquet(path)
+    x = spark.read.parquet(path).withColumn("s_p", F.shiftright("s_z", 33))
+    parts = x.groupBy(*[F.col(c).alias(f"s__{c}") for c in by], F.col("s_p").alias("s__p")).agg(F.min("s_z").alias("s_first"), F.count("*").alias("s_m"))
+    w = Window.partitionBy(*[f"s__{c}" for c in by])
+    before = F.coalesce(F.sum("s_m").over(w.orderBy("s__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({"s_before": before, "s_n": F.sum("s_m").over(w)})
+    same = F.col("s_p") == F.col("s__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"s__{c}"))
+    i = F.col("s_z") - F.col("s_first") + F.col("s_before")
     step = F.greatest(F.lit(1), F.floor(F.col("s_n") / n).cast("long"))
-    return x.where((F.col("s_i") % step == 0) & (F.floor(F.col("s_i") / step) < n)).drop("s_i", "s_n")
+    return x.join(parts, same).where((i % step == 0) & (F.floor(i / step) < n)).select(*df.columns)
 
 
 def key_union(a: DataFrame, b: DataFrame) -> DataFrame:
