@@ -25,11 +25,22 @@ def file_name() -> Column:
 
 
 def read_truth(spark: SparkSession, path: str, paper: str | None = None) -> DataFrame:
-    """A reference table with gt_ord, its order in the file; rows without a paper are dropped."""
+    """A reference table with gt_ord, its order in the file, or over the files of a folder by their names; rows
+    without a paper are dropped."""
     x = spark.read.schema(TRUTH_SCHEMA).option("header", True).option("multiLine", True).option("ignoreLeadingWhiteSpace", False).csv(path)
-    x = x.select(*[null_csv(F.regexp_replace(F.col(c), "\r$", "")).alias(c) for c in ALL_COLS])
+    many = len(x.inputFiles()) > 1
+    own = [null_csv(F.regexp_replace(F.col(c), "\r$", "")).alias(c) for c in ALL_COLS]
     # A whole file is one task (multiLine), and ids rise within it.
-    x = x.withColumn("gt_ord", F.monotonically_increasing_id()).where("paper is not null")
+    x = x.select(*own, F.monotonically_increasing_id().alias("gt_ord"), *([F.col("_metadata.file_path").alias("t_file")] if many else []))
+    if many:  # a file's rows are counted from its first one on, after those of the files before it: one row a file
+        found = sorted(x.groupBy("t_file").agg(F.min("gt_ord"), F.count("*")).collect())
+        starts, at = [], 0
+        for name, first, n in found:
+            starts.append((name, at - first))
+            at += n
+        starts = spark.createDataFrame(starts, "t_file string, t_shift long")
+        x = x.join(F.broadcast(starts), "t_file").withColumn("gt_ord", F.col("gt_ord") + F.col("t_shift")).drop("t_file", "t_shift")
+    x = x.where("paper is not null")
     return x.where(F.col("paper") == paper) if paper is not None else x
 
 
