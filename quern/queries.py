@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import inputs, oracle
-from .functions import composition, fidelity, replies, segments, text, units
+from .functions import cells, fidelity, replies, segments, text, units
 from .inputs import LINES, PREDS, REPLIES, TRUTH, register, rows
 from .operators import align, documents, ingest, manifest, metrics, tables
 from .plans import rebuild as rebuilding
@@ -50,8 +50,7 @@ COUNTS = ("tp", "tp_rng", "fp", "fp_un", "fn")
 def score_columns(spark, sf_dir):
     """Pooled counts and scores of every column and version: the flagship."""
     truth, preds = _records(spark, sf_dir)
-    cells = scoring.score_run(truth, preds, [STRICT])["cells"]
-    x = metrics.with_prf(metrics.pooled(cells, ["column", "version"]))
+    x = metrics.with_prf(metrics.pooled(scoring.score_run(truth, preds, [STRICT])["cells"], ["column", "version"]))
     return _rounded(x.select("column", "version", *COUNTS, "p", "r", "f1"), "p", "r", "f1")
 
 
@@ -82,8 +81,8 @@ def score_summary(spark, sf_dir):
     )
 )
 def score_grouping_sets(spark, sf_dir):
-    cells = scoring.score_run(*_records(spark, sf_dir), [STRICT])["cells"]
-    return metrics.grouping_sets(cells, ["version"]).select("version", "paper", "column", "level", *COUNTS)
+    x = scoring.score_run(*_records(spark, sf_dir), [STRICT])["cells"]
+    return metrics.grouping_sets(x, ["version"]).select("version", "paper", "column", "level", *COUNTS)
 
 
 @query(
@@ -234,14 +233,14 @@ NAMES = f"select p_partkey, {inputs.pick('p_partkey', inputs.CATALYSTS)} as a, {
 
 @query(f"select p_partkey, {oracle.material('a')} as canon_a, {oracle.material('b')} as canon_b from ({NAMES})")
 def catalyst_canonical(spark, sf_dir):
-    x = rows(spark, sf_dir, NAMES, "part")
-    return x.select("p_partkey", *[composition.canonical_catalyst(F.col(c)).alias(f"canon_{c}") for c in "ab"])
+    x = rows(spark, sf_dir, NAMES, "part", spread=True)
+    return x.select("p_partkey", *[cells.canonical_catalyst(F.col(c)).alias(f"canon_{c}") for c in "ab"])
 
 
 @query(f"select p_partkey, {oracle.material('a')} = {oracle.material('b')} as same from ({NAMES})")
 def catalyst_match(spark, sf_dir):
-    x = rows(spark, sf_dir, NAMES, "part")
-    return x.select("p_partkey", composition.catalyst_match(F.col("a"), F.col("b")).alias("same"))
+    x = rows(spark, sf_dir, NAMES, "part", spread=True)
+    return x.select("p_partkey", cells.catalyst_match(F.col("a"), F.col("b")).alias("same"))
 
 
 WRITTEN = f"select event_id, {inputs.text('event_id % 40')} || {inputs.pick('event_id', ('.5', '', '.25', ' to 9', '.75'))} as written from events"

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quern import queries, run_queries  # noqa: F401
 from quern.functions import cells, composition, text, units
-from quern.operators import align, pairing
+from quern.operators import align, pairing, tables
 from quern.plans import score
 from quern.schema import ALL_COLS, Protocol
+from quern.sources import readers, writers
 
 SF = "/root/testdata/sf0.001"
 PARTS = ["5", "1.5", "-3", "+.5", "2.", "1e3", "1E-2", "12", "350", " ", "  ", " ", " ", "-", "–", "−", " to ", "~", "±", "...", "K", "°C", " C", "℃", "℉", "degC", "kelvin", "F"]
@@ -88,3 +89,29 @@ def test_a_null_key_is_scored_but_never_paired(spark):
     assert out["matches"].where("version is null").count() == 0 and out["matches"].count() > 0
     assert out["rows"].where("version is null and side = 'gt'").count() == 90 * 2
     assert align.score_pairs(t, p, [Protocol()], score.KEYS).where("version is null").count() > 0
+
+
+def test_names_are_compared_as_columns_are(spark):
+    x = spark.createDataFrame([(a, b) for a in [None, "", *NAMES] for b in [None, "", *NAMES, "Mg3Al1", "Mg6Al2", "Mg3Al2"]], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    x = x.select("a", "b", cells.catalyst_match(a, b).alias("m"), composition.catalyst_match(a, b).alias("w"), cells.canonical_catalyst(a).alias("c"), composition.canonical_catalyst(a).alias("d"))
+    assert all((r.m, r.c) == (r.w, r.d) for r in x.collect())
+
+
+def test_a_sample_of_few_large_groups(spark):
+    """No task holds a group: what is windowed are counts, a row per group and task."""
+    x = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 5000).alias("o")).withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    out = tables.systematic_sample(x.repartition(9), ["g"], ["o"], 7)
+    rows = {g: sorted(i * 7919 % 5000 for i in range(5000) if (i % 3 or None) == g) for g in (None, 1, 2)}
+    want = {(g, v[j * max(1, len(v) // 7)]) for g, v in rows.items() for j in range(7)}
+    assert {(r.g, r.o) for r in out.collect()} == want
+    shown = plan(out)
+    assert "Window" in shown and "row_number" not in shown and all("s_m" in line for line in shown.splitlines() if "- Window" in line)
+
+
+def test_a_reference_table_of_many_files(spark, tmp_path):
+    x = spark.range(1000).select(F.lit("").alias("r"), F.lit("").alias("o"), *[F.when(F.col("id") % 9 != 0, F.concat(F.lit("P\n"), F.col("id").cast("string"))).alias(c) for c in ALL_COLS], "id")
+    writers.write_csv(x.repartitionByRange(7, "id").sortWithinPartitions("id").drop("id"), str(tmp_path / "t"))
+    back = readers.read_truth(spark, str(tmp_path / "t")).select("gt_ord", "paper").collect()
+    assert len(spark.read.csv(str(tmp_path / "t")).inputFiles()) > 3
+    assert sorted((r.gt_ord, r.paper) for r in back) == [(i, f"P\n{i}") for i in range(1000) if i % 9]
