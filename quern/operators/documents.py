@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fidelity as fx
-from ..functions.text import strip, words
+from ..functions import lines as fl
+from ..functions.text import strip
 from .tables import top_n
 
 # Base fonts that are referenced without embedding, and the shape of subset names.
@@ -21,14 +22,11 @@ def text_lines(pages: DataFrame, text: str = "text") -> DataFrame:
 
 def repaired_lines(lines: DataFrame, scope: str = "data", use_d1: bool = True, use_d2: bool = False) -> DataFrame:
     """``lines`` with fixed (text), kind, changes, and whether the row counts as data."""
-    x = lines.withColumn("r", fx.repair_line(F.col("line"), scope, use_d1, use_d2))
-    count = F.struct(F.size(words(F.col("line"))).alias("n"), fx.parseable(F.col("line")).alias("ok"))
-    x = x.withColumn("t", count)
-    tokens, numeric = F.col("t.n"), F.col("t.ok")
-    data = (F.col("r.kind") == "DATA") | ((tokens >= 4) & (numeric >= 3))
+    x = lines.withColumn("r", fl.repair_line(F.col("line"), scope, use_d1, use_d2))
+    data = (F.col("r.kind") == "DATA") | ((F.col("r.n") >= 4) & (F.col("r.ok") >= 3))
     return x.select(
         *lines.columns, F.col("r.text").alias("fixed"), F.col("r.kind").alias("kind"), F.col("r.changes").alias("changes"),
-        F.coalesce(data, F.lit(False)).alias("is_data"), tokens.alias("n_tokens"), numeric.alias("n_parseable"), F.when(F.size("r.changes") > 0, fx.parseable(F.col("r.text"))).otherwise(numeric).alias("n_parseable_after"),
+        F.coalesce(data, F.lit(False)).alias("is_data"), F.col("r.n").alias("n_tokens"), F.col("r.ok").alias("n_parseable"), F.col("r.ok_after").alias("n_parseable_after"),
     )
 
 
@@ -60,9 +58,8 @@ def tier_counts(edits: DataFrame) -> DataFrame:
 
 def line_verdicts(lines: DataFrame) -> DataFrame:
     """The damaged lines: kind, suspects, repaired."""
-    # Exploded, a verdict is made once; as a column it would be made again for the filter and for each field.
-    found = F.filter(F.array(fx.classify_line(F.col("line"))), lambda v: v.isNotNull())
-    return lines.select(*lines.columns, F.explode(found).alias("v")).select(*lines.columns, "v.kind", "v.suspects", "v.repaired")
+    x = lines.withColumn("v", fl.classify_line(F.col("line"))).where("v is not null")
+    return x.select(*lines.columns, "v.kind", "v.suspects", "v.repaired")
 
 
 def char_hits(verdicts: DataFrame) -> DataFrame:
